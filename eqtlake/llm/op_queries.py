@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules, secret_scan
+from . import classifier, mixing, pii, quality_rules, secret_scan
 from .common import table
 from .op_sql import SQL
 from .spans import span_digests
@@ -31,6 +31,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_digests(F.col("pii"), [d.kind for d in pii.BASE]))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = classifier.classify(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", (classifier.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
