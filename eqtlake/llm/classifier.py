@@ -192,7 +192,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, rounds: int
             p = 1 / (1 + np.exp(-np.clip(h @ layers[2] + layers[3][0], -30, 30)))
             g = (p - y[part]) / len(part)
             back = np.outer(g, layers[2]) * (h > 0)
-            grads = [z[part].T @ back + 1e-3 * layers[0], back.sum(0), h.T @ g + 1e-3 * layers[2], np.array([g.sum()])]
+            grads = [z[part].T @ back + 1e-4 * layers[0], back.sum(0), h.T @ g + 1e-4 * layers[2], np.array([g.sum()])]
             for i, grad in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * grad
                 second[i] = 0.999 * second[i] + 0.001 * grad**2
@@ -201,13 +201,13 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 11, rounds: int
                 )
         model.layers = tuple(layers)
         loss = _loss(model.logits(x[held]), y[held])
-        if loss < best - 1e-4:
+        if loss < best - 1e-5:
             best, best_layers, waited = loss, [w.copy() for w in layers], 0
-        elif (waited := waited + 1) >= 25:
+        elif (waited := waited + 1) >= 40:
             break
     model.layers = tuple(best_layers)
     logits = model.logits(x[held])
-    model.temperature = float(min(np.geomspace(0.25, 8, 61), key=lambda t: _loss(logits / t, y[held])))
+    model.temperature = float(min(np.geomspace(0.5, 8, 57), key=lambda t: _loss(logits / t, y[held])))
     return model
 
 

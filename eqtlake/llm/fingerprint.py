@@ -87,6 +87,7 @@ class Batch:
     uid: int
     ids: list
     texts: list[bytes]
+    extra: list
     words: np.ndarray
     bounds: np.ndarray
 
@@ -127,28 +128,31 @@ def hash_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches(stream: Iterable[pa.RecordBatch], partition: int, size: int = 4 << 20, lower: bool = False) -> Iterator[Batch]:
-    """Regroup Arrow batches of (id, text) to about ``size`` bytes of text.
+    """Regroup Arrow batches of (id, text[, extra]) to about ``size`` bytes of text.
 
     A text is never split, so one longer than ``size`` is a batch of its own.
+    ``lower`` hashes the words with A-Z in lower case; texts stay as they are.
     """
     ids: list = []
     texts: list[bytes] = []
+    extra: list = []
     held = number = 0
 
     def made() -> Batch:
-        words, bounds = hash_rows(texts)
-        return Batch((partition << 32) | number, ids, texts, words, bounds)
+        words, bounds = hash_rows([t.lower() for t in texts] if lower else texts)
+        return Batch((partition << 32) | number, ids, texts, extra, words, bounds)
 
     for batch in stream:
-        column = batch.column(1).cast(pa.large_binary())
-        for i, t in zip(batch.column(0).to_pylist(), column.to_pylist(), strict=True):
-            t = t or b""
+        column = batch.column(1).cast(pa.large_binary()).to_pylist()
+        more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(column)
+        for i, t, x in zip(batch.column(0).to_pylist(), column, more, strict=True):
             ids.append(i)
-            texts.append(t.lower() if lower else t)
-            held += len(t)
+            texts.append(t or b"")
+            extra.append(x)
+            held += len(texts[-1])
             if held >= size:
                 yield made()
-                ids, texts, held, number = [], [], 0, number + 1
+                ids, texts, extra, held, number = [], [], [], 0, number + 1
     if ids:
         yield made()
 
