@@ -127,11 +127,18 @@ def hash_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.cumsum(np.array(counts, np.int64))
 
 
-def batches(stream: Iterable[pa.RecordBatch], partition: int, size: int = 4 << 20, lower: bool = False) -> Iterator[Batch]:
+def batches(
+    stream: Iterable[pa.RecordBatch],
+    partition: int,
+    size: int = 4 << 20,
+    lower: bool = False,
+    words: bool = True,
+) -> Iterator[Batch]:
     """Regroup Arrow batches of (id, text[, extra]) to about ``size`` bytes of text.
 
     A text is never split, so one longer than ``size`` is a batch of its own.
     ``lower`` hashes the words with A-Z in lower case; texts stay as they are.
+    Without ``words`` nothing is hashed.
     """
     ids: list = []
     texts: list[bytes] = []
@@ -139,8 +146,8 @@ def batches(stream: Iterable[pa.RecordBatch], partition: int, size: int = 4 << 2
     held = number = 0
 
     def made() -> Batch:
-        words, bounds = hash_rows([t.lower() for t in texts] if lower else texts)
-        return Batch((partition << 32) | number, ids, texts, extra, words, bounds)
+        hashed = hash_rows(([t.lower() for t in texts] if lower else texts) if words else [])
+        return Batch((partition << 32) | number, ids, texts, extra, *hashed)
 
     for batch in stream:
         column = batch.column(1).cast(pa.large_binary()).to_pylist()

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, near_dup, pii, ppm, quality_rules, secret_scan
-from .common import table
+from . import classifier, mixing, near_dup, pii, ppm, quality_rules, secret_scan, substring_dedup
+from .common import sha256_hex, table
 from .op_sql import SQL
 from .spans import span_digests
 
@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_digests(F.col("pii"), [d.kind for d in pii.BASE]))

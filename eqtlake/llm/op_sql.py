@@ -122,3 +122,18 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
 FROM e"""
+
+SQL["op5_substring_dedup"] = r"""WITH w AS (SELECT doc_id,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM s),
+g AS (SELECT doc_id, list_sort(list(DISTINCT j)) AS gone FROM (
+  SELECT doc_id, unnest(range(i, i + 13)) AS j FROM m WHERE first < doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS kept FROM (
+  SELECT w.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w) u
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS j FROM g) r WHERE r.doc_id = u.doc_id AND r.j = u.j)
+  GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON g.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""
