@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, mixing, near_dup, pii, ppm, quality_rules, secret_scan, substring_dedup
+from . import classifier, decontaminate, mixing, near_dup, pii, ppm, quality_rules, secret_scan, substring_dedup
 from .common import sha256_hex, table
 from .op_sql import SQL
 from .spans import span_digests
@@ -19,6 +19,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_digests(F.col("secrets"), [r.kind for r in secret_scan.BASE_RULES]))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, benchmark)
+    return found.select("doc_id", *decontaminate.digests(found))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
