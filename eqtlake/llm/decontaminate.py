@@ -103,9 +103,9 @@ def _starts(words: Column, seeds: Column, short: list[int], window: int, k: int)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, text_key, n_hit, items): documents with hit words.
+    """(doc_id, text_key, spans, n_hit, items): documents with hit words.
 
-    ``items`` are the sorted ids, as text, of the items with windows in the
+    ``spans`` are the windows found, by start: first word and end. ``items`` are the sorted ids, as text, of the items with windows in the
     document. ``text_key`` hashes the text, so that rows which share an id but
     not the text keep their own hits.
     """
@@ -161,39 +161,68 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
         ),
         lambda acc: acc["n"],
     )
-    return grouped.select("doc_id", "text_key", covered.cast("long").alias("n_hit"), "items")
+    return grouped.select("doc_id", "text_key", "spans", covered.cast("long").alias("n_hit"), "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, text, n_words, n_hit, items, contaminated), a row per input row.
+    """``docs`` with n_words, n_hit, spans, items and contaminated, a row per input row.
 
     Words are what ``item_words`` gives of the whole text. A word is hit if it is
     inside any occurrence of a window: ``window`` successive words of an item, or
     all words of a shorter one. A document is contaminated if at least one word in
     MIN_SHARE is hit. Null and empty texts have no words and are not contaminated;
     null and empty items match nothing; repeated rows each get the same result,
-    null ids their own. Empty tables give empty results or no hits. Columns
-    besides doc_id and text (item_id and text) are ignored.
+    null ids their own. Empty tables give empty results or no hits. Further columns
+    stay, but for those named as the ones added (or text_key, h_id, h_key), which go.
     """
     found = hits(docs, benchmark, window, k).withColumnsRenamed({"doc_id": "h_id", "text_key": "h_key"})
-    rows = docs.select(
-        "doc_id",
-        "text",
-        F.xxhash64("text").alias("text_key"),
-        F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS_ANY_CASE), "")).cast("long").alias("n_words"),
-    )
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key")), "left")
+    return with_hits(docs, found)
+
+
+def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with n_words, n_hit, spans, items and contaminated; ``found`` is
+    what ``hits`` gives, its keys named h_id and h_key."""
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS_ANY_CASE), "")).cast("long")
+    added = ("n_words", "n_hit", "spans", "items", "contaminated", "text_key", "h_id", "h_key")
+    names = [c for c in docs.columns if c not in added]
+    rows = docs.select(*names, F.xxhash64("text").alias("text_key"), n_words.alias("n_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select(
-        "doc_id",
-        "text",
+    return rows.join(found, same, "left").select(
+        *names,
         "n_words",
         n_hit.alias("n_hit"),
+        F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (MIN_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def cut(text: Column, spans: Column) -> Column:
+    """``text`` without the words inside ``spans``; what separates words stays."""
+
+    def on(x: Column) -> Column:
+        # A text that starts with a separator has an empty first piece.
+        head = F.when(x["p"][0] == "", F.lit(1)).otherwise(F.lit(0))
+        return F.array_join(
+            F.transform(
+                x["p"],
+                lambda piece, i: F.concat(
+                    F.when(F.exists(x["s"], lambda s: (i - head >= s["s"]) & (i - head < s["e"])), F.lit("")).otherwise(piece),
+                    F.coalesce(F.get(x["g"], i), F.lit("")),
+                ),
+            ),
+            "",
+        )
+
+    parts = F.struct(
+        F.split(text, BREAKS_ANY_CASE).alias("p"),
+        F.regexp_extract_all(text, F.lit(BREAKS_ANY_CASE), F.lit(0)).alias("g"),
+        spans.alias("s"),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, on))
+
+
 def digests(found: DataFrame) -> list[Column]:
     return [
         F.col("n_words"),

@@ -66,8 +66,27 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    found = [
+        op1_secret_scan,
+        op2_decontamination,
+        op3_quality_rules,
+        op4_warc,
+        op5_substring_dedup,
+        op6_pii,
+        op7_quality_classifier,
+        op8_near_dup,
+        op9_mixing,
+        op10_lm_scoring,
+        pipeline,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

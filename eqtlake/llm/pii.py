@@ -114,10 +114,14 @@ def find_pii(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, thresho
     so repeated or null ids, ties and empty tables need no care; columns besides
     doc_id and text are ignored.
     """
-    text = F.col("text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return annotate(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), detectors, threshold)
+
+
+def annotate(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with the column ``pii`` added (replaced, if there is one)."""
+    text = F.coalesce("text", F.lit(""))
     parts = [_found(text, rank, d, threshold) for rank, d in enumerate(detectors)]
-    return rows.select("doc_id", "text", in_order(F.concat(*parts)).alias("pii"))
+    return docs.withColumn("pii", in_order(F.concat(*parts)))
 
 
 def _found(text: Column, rank: int, detector: Detector, threshold: float) -> Column:
