@@ -1,0 +1 @@
+"""The engine reads static files, so it has no streaming operators."""
