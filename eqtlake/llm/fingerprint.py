@@ -127,10 +127,17 @@ def hash_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.cumsum(np.array(counts, np.int64))
 
 
+def slices(stream: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that only they become Python objects."""
+    for batch in stream:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def batches(
     stream: Iterable[pa.RecordBatch],
     partition: int,
-    size: int = 4 << 20,
+    size: int = 2 << 20,
     lower: bool = False,
     words: bool = True,
 ) -> Iterator[Batch]:
@@ -149,10 +156,10 @@ def batches(
         hashed = hash_rows(([t.lower() for t in texts] if lower else texts) if words else [])
         return Batch((partition << 32) | number, ids, texts, extra, *hashed)
 
-    for batch in stream:
-        column = batch.column(1).cast(pa.large_binary()).to_pylist()
-        more = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(column)
-        for i, t, x in zip(batch.column(0).to_pylist(), column, more, strict=True):
+    for part in slices(stream):
+        column = part.column(1).cast(pa.large_binary()).to_pylist()
+        more = part.column(2).to_pylist() if part.num_columns > 2 else [None] * len(column)
+        for i, t, x in zip(part.column(0).to_pylist(), column, more, strict=True):
             ids.append(i)
             texts.append(t or b"")
             extra.append(x)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .fingerprint import Batch, batches, bucket_of, hash_rows, ngram_hashes, split_by, unpack, winnow
+from .fingerprint import Batch, batches, bucket_of, hash_rows, ngram_hashes, slices, split_by, unpack, winnow
 
 LENGTH = 13
 ANCHOR = 5
@@ -161,7 +161,7 @@ def _unpack(row: dict) -> Batch:
 
 def _runs(length: int, anchor: int, buckets: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in stream:
+        for part in slices(stream, 1):
             for row in part.to_pylist():
                 batch = _unpack(row)
                 w = Windows(batch, length, anchor)
@@ -173,7 +173,7 @@ def _runs(length: int, anchor: int, buckets: int):
 
 def _keep(length: int, anchor: int, buckets: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in stream:
+        for part in slices(stream, 1):
             for row in part.to_pylist():
                 batch = _unpack(row)
                 w = Windows(batch, length, anchor)
