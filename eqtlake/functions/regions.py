@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,18 @@ def split_ids(text: str) -> list[str]:
     return [x.strip() for x in text.split(",")]
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of the caller's arguments as a local relation, not a Python RDD."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
 def region_table(spark: SparkSession, regions: Iterable[Region], prefix: str) -> DataFrame:
     """(prefix_no, prefix_chr, prefix_start, prefix_end), one row a region."""
     rows = [(i, str(r.chrom), r.start, r.end) for i, r in enumerate(regions)]
-    schema = f"{prefix}_no int, {prefix}_chr string, {prefix}_start long, {prefix}_end long"
-    return spark.createDataFrame(rows, schema)
+    kinds = {"no": pa.int32(), "chr": pa.string(), "start": pa.int64(), "end": pa.int64()}
+    return local_table(spark, rows, pa.schema([(f"{prefix}_{k}", kind) for k, kind in kinds.items()]))
 
 
 def parse_region_column(text: Column) -> Column:

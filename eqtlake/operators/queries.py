@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
-from ..functions.regions import Region, region_table
+from ..functions.regions import Region, local_table, region_table
 from ..functions.stats import p_value
 from ..schemas import RESULT
 
@@ -79,7 +80,7 @@ def first_rows(dim: DataFrame, key: str) -> DataFrame:
 
 def id_table(spark: SparkSession, ids: Sequence[str], name: str) -> DataFrame:
     """(pos, name): the requested ids with their places; repeats stay."""
-    return spark.createDataFrame(list(enumerate(ids)), f"pos int, {name} string")
+    return local_table(spark, list(enumerate(ids)), pa.schema([("pos", pa.int32()), (name, pa.string())]))
 
 
 def cis_window(
