@@ -2,10 +2,10 @@
 
 One-permutation hashing with optimal densification gives each shingle set a
 signature; bands of it are buckets; in a bucket every member is paired with the
-bucket's centre only. Pairs are confirmed on the full sets. Members that the
-centre does not confirm are compared with the bucket's other members too, so a
-link is not lost because its bucket had another centre. Confirmed links are
-closed into components by label propagation in Spark.
+bucket's centre only. Pairs are confirmed on the full sets, and confirmed links
+are closed into components by label propagation in Spark. Where a bucket still
+holds several components, their members are compared across components by
+blocks, so no link is lost because its bucket had another centre.
 """
 
 from __future__ import annotations
@@ -19,20 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
-from .fingerprint import U64, batches, mix, ngram_hashes
+from .fingerprint import U64, batches, mix, ngram_hashes, slices, word_hashes
 
 BINS = 128
 ROWS_PER_BAND = 4
 BANDS = BINS // ROWS_PER_BAND
-#: Sets of fewer shingles are compared in full whatever their signatures.
-LARGE_SET = 256
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 2048
 
 
-def least_agreement(percent: int) -> int:
-    """Slots of a signature that must agree before two large sets are compared
-    in full: six standard deviations under what the threshold expects."""
+def least_agreement(percent: int, size: np.ndarray) -> np.ndarray:
+    """Slots of two signatures that must agree before sets, the smaller of
+    ``size`` shingles, are compared in full: six standard deviations under what
+    the threshold expects. Bins that borrow double the variance of small sets."""
     p = percent / 100
-    return int(BINS * p - 6 * (BINS * p * (1 - p)) ** 0.5)
+    return BINS * (p - 6 * np.sqrt(2 * p * (1 - p) / np.clip(size, 1, BINS)))
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -120,10 +121,8 @@ def _confirm(width: int, percent: int):
     """Whether the two texts' sets reach ``percent`` of their union."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .fingerprint import word_hashes
-
         last_id, last = None, None
-        for batch in stream:
+        for batch in slices(stream):
             linked = []
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
                 if a != last_id or last is None:
@@ -136,22 +135,92 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def _agreeing(least: int):
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _agreeing(percent: int):
     """Pairs whose signatures do not already rule the link out."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS)
-                for c in ("sig_a", "sig_b")
-            )
-            small = np.minimum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()) < LARGE_SET
-            keep = pa.array(small | ((a == b).sum(1) >= least))
+            a, b = _signatures(batch.column("sig_a")), _signatures(batch.column("sig_b"))
+            size = np.minimum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+            keep = pa.array((a == b).sum(1) >= least_agreement(percent, size))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
+def _sets(width: int):
+    """Shingle sets of labelled texts."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(stream):
+            sets = [
+                shingle_set(word_hashes((t or "").encode().lower()), width).view(np.int64)
+                for t in batch.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label"), pa.array(sets, pa.list_(pa.int64()))],
+                names=["doc_id", "label", "shingles"],
+            )
+
+    return run
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def _across(percent: int):
+    """Links that join different components among two blocks of a family.
+
+    A set can share no more than those of its shingles that other components
+    have (``outer``), which rules most pairs out; signatures rule out more; the
+    rest is compared in full. Links inside what is already joined are left out.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, label, outer, block, left, right = (
+            group.column(c).to_numpy() for c in ("doc_id", "label", "outer", "block", "first", "second")
+        )
+        sets = group.column("shingles").to_numpy(zero_copy_only=False)
+        size = np.array([len(s) for s in sets], np.int64)
+        sig = _signatures(group.column("sig"))
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        rows, columns = np.flatnonzero(block == left[0]), np.flatnonzero(block == right[0])
+        links = []
+        for i in range(0, len(rows), 64):
+            r = rows[i : i + 64]
+            most = np.minimum(outer[r][:, None], outer[columns][None, :])
+            both = size[r][:, None] + size[columns][None, :]
+            x, y = np.nonzero((label[r][:, None] != label[columns][None, :]) & (100 * most >= percent * (both - most)))
+            x, y = r[x], columns[y]
+            agree = (sig[x] == sig[y]).sum(1) >= least_agreement(percent, np.minimum(size[x], size[y]))
+            for a, b in zip(x[agree].tolist(), y[agree].tolist(), strict=True):
+                one, other = find(int(label[a])), find(int(label[b]))
+                if one == other:
+                    continue
+                shared = _overlap(sets[a], sets[b])
+                if 100 * shared >= percent * (size[a] + size[b] - shared):
+                    parent[max(one, other)] = min(one, other)
+                    links.append((min(doc[a], doc[b]), max(doc[a], doc[b])))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return run
+
+
 def confirm_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b, linked) for the pairs (a, b) that sizes and signatures allow.
 
@@ -163,7 +232,7 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: in
         .join(side.toDF("b", "sig_b", "size_b"), "b")
         .where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         .select("a", "b", "sig_a", "sig_b", "size_a", "size_b")
-        .mapInArrow(_agreeing(least_agreement(percent)), "a long, b long")
+        .mapInArrow(_agreeing(percent), "a long, b long")
     )
     with_b = likely.join(texts.toDF("b", "text_b"), "b")
     both = with_b.join(texts.toDF("a", "text_a"), "a")
@@ -201,6 +270,67 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
     )
 
 
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Entries (key, doc_id, label) of buckets with more than one component."""
+    keys = (
+        entries.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("key", F.col("low").alias("root"))
+    )
+    return entries.join(keys, "key")
+
+
+def _links_across(
+    entries: DataFrame, label: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links (a, b) between components that share buckets (key, doc_id).
+
+    Documents in buckets of several components get the number of their shingles
+    that other components have too. Where that is too small for a link with
+    anything, the document is done. The others form families, which are
+    connected by their buckets, and are compared by blocks of bounded size.
+    """
+    mixed = materialize(_mixed(entries.join(label.toDF("doc_id", "label"), "doc_id")), "near-mixed")
+    wanted = mixed.select("doc_id", "label").distinct()
+    sets = materialize(
+        wanted.join(texts, "doc_id").mapInArrow(_sets(width), "doc_id long, label long, shingles array<long>")
+        .join(reps.select("doc_id", "sig"), "doc_id"),
+        "near-sets",
+    )
+    single = sets.select("doc_id", "label", F.explode("shingles").alias("shingle"))
+    spread = (
+        single.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    )
+    outer = single.join(spread.select("shingle"), "shingle").groupBy("doc_id").agg(F.count("*").alias("outer"))
+    alive = materialize(
+        outer.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id")
+        .where(100 * F.col("outer") >= percent * F.col("n"))
+        .select("doc_id", "outer")
+        .distinct(),
+        "near-alive",
+    )
+    left = _mixed(mixed.select("key", "doc_id", "label").join(alive, "doc_id").drop("outer"))
+    edges = materialize(
+        left.join(left.groupBy("key").agg(F.min("doc_id").alias("head")), "key").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(),
+        "near-families",
+    )
+    nodes = edges.select(F.col("b").alias("doc_id")).distinct()
+    family = materialize(components(nodes, edges.where("a != b"), "near-family"), "near-family-labels")
+    blocks = family.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        family.join(blocks, "component_id")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("first", F.least("block", "other"))
+        .withColumn("second", F.greatest("block", "other"))
+        .drop("other", "blocks")
+        .join(alive, "doc_id")
+        .join(sets, "doc_id")
+    )
+    return dealt.groupBy("component_id", "first", "second").applyInArrow(_across(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row.
 
@@ -240,32 +370,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = materialize(entries.join(buckets.drop("last"), "key"), "near-placed")
     star = placed.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     texts = rows.where("doc_id is not null")
-    first = materialize(confirm_pairs(star, reps, texts, width, percent).where("linked").select("a", "b").distinct(), "near-star")
-    # Members that their centre does not confirm: against the rest of the bucket.
-    unlinked = placed.where("doc_id > centre").join(
-        first.toDF("centre", "doc_id"), ["centre", "doc_id"], "left_anti"
-    )
-    near = components(placed.select("doc_id").distinct(), first, "near-first")
-    near = materialize(near, "near-labels")
-    sized = reps.select("doc_id", "n_shingles")
-    left = unlinked.select("key", "centre", F.col("doc_id").alias("c")).join(sized.toDF("c", "size_c"), "c").join(
-        near.toDF("c", "label_c"), "c"
-    )
-    right = placed.where("doc_id > centre").select("key", F.col("doc_id").alias("d")).join(sized.toDF("d", "size_d"), "d").join(
-        near.toDF("d", "label_d"), "d"
+    nodes = placed.select("doc_id").distinct()
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        found = confirm_pairs(pairs, reps, texts, width, percent).where("linked")
+        return materialize(found.select("a", "b").distinct(), name)
+
+    def labelled(links: DataFrame, name: str) -> DataFrame:
+        return materialize(components(nodes, links, name).toDF("v", "label"), f"{name}-labels")
+
+    # Each member against its smallest centre; then against the other centres,
+    # where that did not already bring the two into one component.
+    first = confirmed(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-least")
+    label = labelled(first, "near-first")
+    apart = (
+        star.join(label.toDF("a", "label_a"), "a").join(label.toDF("b", "label_b"), "b").where("label_a != label_b")
     )
-    other = (
-        left.join(right, "key")
-        .where(
-            (F.col("c") != F.col("d"))
-            & (F.col("label_c") != F.col("label_d"))
-            & (100 * F.least("size_c", "size_d") >= percent * F.greatest("size_c", "size_d"))
-        )
-        .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        .distinct()
+    second = confirmed(apart.select("a", "b"), "near-star")
+    label = labelled(first.union(second), "near-second")
+    third = materialize(
+        _links_across(placed.select("key", "doc_id"), label, reps, texts, width, percent), "near-across"
     )
-    second = materialize(confirm_pairs(other, reps, texts, width, percent).where("linked").select("a", "b"), "near-rest")
-    links = members.union(first).union(second)
+    links = members.union(first).union(second).union(third)
     whole = signed.select("doc_id", "n_shingles")
     return components(whole, links, "near-all").select(
         "doc_id",
