@@ -188,7 +188,8 @@ def _across(percent: int):
         doc, label, outer, block, left, right = (
             group.column(c).to_numpy() for c in ("doc_id", "label", "outer", "block", "first", "second")
         )
-        sets = group.column("shingles").to_numpy(zero_copy_only=False)
+        # Sorted as the unsigned numbers that they are.
+        sets = [s.view(np.uint64) for s in group.column("shingles").to_numpy(zero_copy_only=False)]
         size = np.array([len(s) for s in sets], np.int64)
         sig = _signatures(group.column("sig"))
         parent: dict[int, int] = {}
