@@ -6,12 +6,18 @@ its bytes modulo 2**64 with a final mix, computed for a whole buffer at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library has no malloc_trim
+    _LIBC = None
+
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,6 +138,16 @@ def slices(stream: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
     for batch in stream:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between stages, and
+    what they hold is missing for the executor's next one."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def batches(

@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize
-from .fingerprint import batches, bucket_of, split_by, unpack
+from .fingerprint import batches, bucket_of, slices, split_by, unpack
 
 FOLDS = 10
 #: Symbols: 256 bytes and the end of the text.
@@ -69,7 +70,7 @@ def _count_grams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
 
-    for batch in stream:
+    for batch in slices(stream):
         for text in batch.column(0).cast(pa.large_binary()).to_pylist():
             held.append(gram_codes(text or b""))
             size += len(held[-1])
@@ -272,7 +273,7 @@ def count_words(rows: DataFrame, buckets: int) -> WordCounts:
 _PAIRS = "bucket int, uid long, trained binary, hashes binary, rows binary, times binary, ids binary, sums binary"
 
 
-def _emit(trie, common, buckets: int):
+def _emit(trie, common, buckets: int, kind: pa.DataType):
     """Per batch: what common words and the end give at once, as the batch's
     head row, and the other words by bucket."""
 
@@ -299,7 +300,7 @@ def _emit(trie, common, buckets: int):
             h, r, times = h[~is_common], r[~is_common], times[~is_common]
             order, bounds = split_by(bucket_of(h, buckets), buckets)
             sums = np.concatenate([base, hits, tokens, score])
-            out = [(-1 - batch.uid % buckets, batch.uid, b"", b"", b"", b"", _ids(batch.ids), sums.tobytes())]
+            out = [(-1 - batch.uid % buckets, batch.uid, b"", b"", b"", b"", _ids(batch.ids, kind), sums.tobytes())]
             for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if j > i:
                     k = order[i:j]
@@ -318,9 +319,9 @@ _SCHEMA = pa.schema(
 )
 
 
-def _ids(ids: list) -> bytes:
+def _ids(ids: list, kind: pa.DataType) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.table({"id": pa.array(ids)})
+    table = pa.table({"id": pa.array(ids, kind)})
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
@@ -396,13 +397,13 @@ def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     trie = train(seen.select("text"))
     words = count_words(seen.select("doc_id", "text"), buckets)
     send = spark.sparkContext.broadcast
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
     parts = (
-        rows.mapInArrow(_emit(send(trie), send(words), buckets), _PAIRS)
+        rows.mapInArrow(_emit(send(trie), send(words), buckets, to_arrow_type(kind)), _PAIRS)
         .groupBy("bucket")
         .applyInArrow(_look_up, "uid long, rows binary, ids binary, sums binary")
         .groupBy("uid")
-        .applyInArrow(_finish, f"doc_id {kind}, n_tokens long, n_known long, raw double, score double")
+        .applyInArrow(_finish, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
     )
     bottom = words.tokens + ALPHA * (words.distinct + 1)
     return parts.select(
