@@ -18,6 +18,11 @@ from .operators import queries as q
 from .operators import summary
 from .sinks import write_report_file
 
+# What is printed after a report, for scripts that read it.
+WRITTEN = """Results written to {out}.txt
+  Associations (before filter): {n_all}
+  Associations (after p-value filter < {p}): {n_below}"""
+
 SIDES = ("snp", "probe")
 UNITS = ("kb", "bp")
 
@@ -60,11 +65,11 @@ def _region_list(args: argparse.Namespace, side: str) -> list[Region]:
     if not text:
         return []
     if getattr(args, f"{side}_chr") or any(x is not None for x in _bounds(args, side)):
-        raise UsageError(f"Cannot use --{side}-chrpos with --{side}-chr or --from/--to-{side}-kb/bp")
+        raise UsageError(f"--{side}-chrpos excludes --{side}-chr and single bounds of that side")
     try:
         return parse_regions(text)
     except ValueError as e:
-        raise UsageError(f"parsing --{side}-chrpos: {e}") from None
+        raise UsageError(f"--{side}-chrpos: {e}") from None
 
 
 def _single_region(args: argparse.Namespace, side: str) -> Region:
@@ -73,13 +78,13 @@ def _single_region(args: argparse.Namespace, side: str) -> Region:
     for end in ("from", "to"):
         kb, whole = (getattr(args, f"{end}_{side}_{unit}") for unit in UNITS)
         if kb is not None and whole is not None:
-            raise UsageError(f"Cannot specify both --{end}-{side}-kb and --{end}-{side}-bp")
+            raise UsageError(f"--{end}-{side} is given in kb and in bp")
         if kb is None and whole is None:
-            raise UsageError(f"Must specify either --{side}-chrpos, --{end}-{side}-kb, or --{end}-{side}-bp")
+            raise UsageError(f"the {side} region lacks --{end}-{side}-kb or --{end}-{side}-bp")
         bp.append(whole if whole is not None else Region.from_kb("", kb, kb).start)
     chrom = getattr(args, f"{side}_chr")
     if not chrom:
-        raise UsageError(f"Must specify --{side}-chr with bounds")
+        raise UsageError(f"the {side} region lacks --{side}-chr")
     return Region(chrom, *bp)
 
 
@@ -87,24 +92,24 @@ def plan(args: argparse.Namespace) -> tuple[str, list]:
     """The kind of query and its arguments, or ``UsageError``."""
     if args.index:
         if not args.beqtl_summary:
-            raise UsageError("--beqtl-summary is required when using --index")
+            raise UsageError("--index needs --beqtl-summary")
         return "index", []
     if not args.out:
-        raise UsageError("--out is required for query mode")
+        raise UsageError("a query needs --out")
     ids = [k for k in ("snp", "probe", "gene") if getattr(args, k)]
     if len(ids) > 1:
-        raise UsageError("--snp, --probe, and --gene are mutually exclusive")
+        raise UsageError("mutually exclusive options: " + ", ".join(f"--{k}" for k in ids))
     regions = [side for side in SIDES if _has_region(args, side)]
     if ids and regions:
-        raise UsageError("Cannot combine --snp/--probe/--gene with region query options")
+        raise UsageError("Cannot combine --snp/--probe/--gene with regions")
     if ids:
         return ids[0], split_ids(getattr(args, ids[0]))
     if len(regions) < 2:
-        raise UsageError("Cis-window queries require both SNP and probe query arguments")
+        raise UsageError("a window needs a SNP region and a probe region")
     lists = [_region_list(args, side) for side in SIDES]
     if any(lists):
         if not all(lists):
-            raise UsageError("Must specify both --snp-chrpos and --probe-chrpos together")
+            raise UsageError("--snp-chrpos and --probe-chrpos go together")
         return "cis", lists
     return "cis", [[_single_region(args, side)] for side in SIDES]
 
@@ -133,9 +138,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         print(f"\nFound {counts.n_all} associations")
         if counts.n_all:
             write_report_file(found, args.out, args.query)
-            print(f"Results written to {args.out}.txt")
-            print(f"  Associations (before filter): {counts.n_all}")
-            print(f"  Associations (after p-value filter < {args.query}): {counts.n_below}")
+            print(WRITTEN.format(out=args.out, p=args.query, n_all=counts.n_all, n_below=counts.n_below))
     finally:
         found.unpersist()
 

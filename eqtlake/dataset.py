@@ -48,6 +48,15 @@ class Dataset:
     def from_store(cls, spark: SparkSession, folder: str) -> Dataset:
         return cls(**store.read_store(spark, folder))
 
+    def __enter__(self) -> Dataset:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Nothing to do: the session is the caller's."""
+
     def save(self, folder: str, force: bool = False, by_snp: bool = False) -> Dataset:
         """Write a store and give the dataset that reads it."""
         extra = {} if self.meta is None else self.metadata()

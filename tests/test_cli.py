@@ -11,22 +11,26 @@ REGION = ["--snp-chrpos", "1:1-10", "--probe-chrpos", "1:1-10"]
 @pytest.mark.parametrize(
     "options,message",
     [
-        (["--besd-index", "x", "--index", "y"], "--beqtl-summary is required"),
-        (["--beqtl-summary", "x", "--snp", "a"], "--out is required"),
+        (["--besd-index", "x", "--index", "y"], "needs --beqtl-summary"),
+        (["--beqtl-summary", "x", "--snp", "a"], "needs --out"),
         (["--beqtl-summary", "x", "--out", "o", "--snp", "a", "--probe", "b"], "mutually exclusive"),
         (["--beqtl-summary", "x", "--out", "o", "--snp", "a", *REGION], "Cannot combine --snp/--probe/--gene"),
-        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:1"], "require both SNP and probe"),
-        (["--beqtl-summary", "x", "--out", "o", *REGION, "--snp-chr", "1"], "Cannot use --snp-chrpos"),
-        (["--beqtl-summary", "x", "--out", "o", *REGION, "--from-snp-bp", "0"], "Cannot use --snp-chrpos"),
-        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:9-2", "--probe-chrpos", "1:1"], "parsing --snp-chrpos"),
-        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:1", "--probe-chr", "1"], "both --snp-chrpos"),
+        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:1"], "a SNP region and a probe region"),
+        (["--beqtl-summary", "x", "--out", "o", *REGION, "--snp-chr", "1"], "--snp-chrpos excludes"),
+        (["--beqtl-summary", "x", "--out", "o", *REGION, "--from-snp-bp", "0"], "--snp-chrpos excludes"),
+        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:9-2", "--probe-chrpos", "1:1"], "--snp-chrpos: Invalid range"),
+        (["--beqtl-summary", "x", "--out", "o", "--snp-chrpos", "1:1", "--probe-chr", "1"], "go together"),
         (
             "--beqtl-summary x --out o --snp-chr 1 --from-snp-kb 1 --from-snp-bp 1 --to-snp-kb 2 --probe-chr 1".split(),
-            "Cannot specify both --from-snp-kb and --from-snp-bp",
+            "--from-snp is given in kb and in bp",
         ),
         (
             "--beqtl-summary x --out o --snp-chr 1 --from-snp-kb 1 --probe-chr 1".split(),
-            "Must specify either --snp-chrpos, --to-snp-kb, or --to-snp-bp",
+            "lacks --to-snp-kb or --to-snp-bp",
+        ),
+        (
+            "--beqtl-summary x --out o --from-snp-kb 1 --to-snp-kb 2 --probe-chr 1 --from-probe-kb 1 --to-probe-kb 2".split(),
+            "lacks --snp-chr",
         ),
     ],
 )
