@@ -45,6 +45,8 @@ PII_KINDS = [
     ("card", r"[0-9]([\x20-]?[0-9])+", 0, f"length({DIGITS}) BETWEEN 14 AND 19 AND {LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0, f"length({DIGITS}) BETWEEN 10 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", 0, MOD97),
+    ("card_run", r"\b[0-9]{14,19}\b", 0, LUHN),
+    ("phone_nanp", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b", 0, "true"),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0, NEAR),
 ]
 
@@ -163,3 +165,17 @@ q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha1(h)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q"""
+
+SQL["op8_near_dup"] = r"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.id = doc_id"""

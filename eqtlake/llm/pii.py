@@ -98,6 +98,15 @@ BASE = (
 # Further kinds.
 MORE = (
     Detector("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9_])", mod97, 0.8, ("iban", "account", "bank")),
+    # What a base match swallows with its neighbours: numbers set apart by blanks.
+    Detector(
+        "card_run",
+        r"(?<![A-Za-z0-9_])[0-9]{14,19}(?![A-Za-z0-9_])",
+        luhn,
+        0.7,
+        ("card", "visa", "credit", "payment"),
+    ),
+    Detector("phone_nanp", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![A-Za-z0-9_])", None, 0.6, ("phone", "call", "tel"), "+"),
     Detector("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", None, 0.3, ("ssn", "social", "security")),
 )
 DETECTORS = BASE + MORE
