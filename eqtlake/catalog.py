@@ -6,9 +6,6 @@ is written once for Spark and once in SQL.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +16,7 @@ from .functions import formatting, regions, stats
 from .functions.regions import Region
 from .operators import queries as q
 from .operators import summary
+from .plans.workspace import scratch_path
 from .sinks import write_besd
 from .sources import besd, store, text
 
@@ -75,15 +73,6 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eqtlake-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 # ---- SQL of the mapping ---------------------------------------------------
 
 STAR = """snp AS (SELECT p_partkey AS row_idx, (p_partkey % 5 + 1)::VARCHAR AS chr, 'rs' || p_partkey AS snp_id,
@@ -427,9 +416,7 @@ def format_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def besd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fact written as a binary matrix and read by its source."""
     ds = dataset(spark, sf_dir)
-    folder = _scratch(spark, "besd").removeprefix("file://")
-    os.makedirs(folder)
-    path = f"{folder}/matrix.besd"
+    path = f"{scratch_path(spark, 'besd')}/matrix.besd"
     rows = ds.assoc.orderBy("probe_idx", "ord").select("probe_idx", "snp_idx", "beta", "se").toLocalIterator()
     n_probes = ds.probes.count()
     write_besd(rows, n_probes, path)
@@ -437,7 +424,7 @@ def besd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, by_snp: bool = False) -> Dataset:
-    ds, folder = dataset(spark, sf_dir), _scratch(spark, "store")
+    ds, folder = dataset(spark, sf_dir), scratch_path(spark, "store")
     store.write_store(ds.snps, ds.probes, ds.assoc, folder, by_snp=by_snp)
     return Dataset.from_store(spark, folder)
 

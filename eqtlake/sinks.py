@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.formatting import HEADER, report_columns, report_line
 from .schemas import RESULT
-from .sources.besd import MAGIC_3, MAGIC_3F
+from .sources.besd import MAGIC_3, MAGIC_3F, create_file
 
 
 def write_report(found: DataFrame, folder: str, pval_below: float = 0.05) -> None:
@@ -49,7 +49,7 @@ def write_besd(rows: Iterable[tuple[int, int, float, float]], n_probes: int, pat
             ids.extend(own)
             values.extend(p[column] for p in pairs)
             cols.append(len(ids))
-    with open(path, "wb") as out:
+    with create_file(path) as out:
         out.write(np.array([MAGIC_3F if kind == "3F" else MAGIC_3], "<u4").tobytes())
         if kind == "3":
             out.write(bytes(60))

@@ -25,15 +25,26 @@ VALUES_PER_PARTITION = 4_000_000
 BATCH = 100_000
 
 
-def open_file(path: str):
+def _locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and its name there."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def open_file(path: str) -> pa.NativeFile:
     """A seekable file of any file system that pyarrow knows."""
-    if "://" in path:
-        system, name = pafs.FileSystem.from_uri(path)
-    else:
-        system, name = pafs.LocalFileSystem(), path
+    system, name = _locate(path)
     return system.open_input_file(name)
 
 
+def create_file(path: str) -> pa.NativeFile:
+    """A file to write, with its parent folders."""
+    system, name = _locate(path)
+    system.create_dir(name.rpartition("/")[0] or ".", recursive=True)
+    return system.open_output_stream(name)
+
+
 @dataclass
 class Layout:
     """Where the parts of a file lie."""
