@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eqtlake.llm import classifier, decontaminate, mixing, near_dup, pii
-from eqtlake.llm.common import scratch_path, table
+from eqtlake.llm.common import table
+from eqtlake.plans.workspace import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 

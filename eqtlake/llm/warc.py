@@ -25,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from eqtlake.plans.workspace import scratch_path
+
+from .common import materialize
 
 #: Payloads below this size are never written as revisits.
 MIN_REVISIT = 1000

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eqtlake.llm import classifier, fingerprint, mixing, near_dup, ppm, substring_dedup, warc
-from eqtlake.llm.common import scratch_path
+from eqtlake.plans.workspace import scratch_path
 
 from . import brute
 from .conftest import TEXTS, crc

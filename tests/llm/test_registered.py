@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from eqtlake.llm import mixing, op_queries
+from eqtlake.plans import explain
 from tests import support
 
 from . import brute
@@ -89,3 +90,10 @@ def test_op_tables_keep_every_row(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     mixed = mixing.mix_sources(spark.read.parquet(f"{SF}/documents.parquet"))
     assert mixed.count() == n
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op2_decontamination", "op3_quality_rules", "op6_pii", "op9_mixing"])
+def test_native_operators_have_no_python_in_their_plans(spark, name):
+    text = explain.plan_text(op_queries.queries()[name](spark, SF))
+    for node in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in text

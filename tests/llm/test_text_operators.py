@@ -140,3 +140,10 @@ def test_running_sum(spark, n):
     values = [(i * 7) % 11 for i in range(n)]
     row = spark.createDataFrame([(values,)], "v array<int>").select(running_sum(F.col("v")).alias("s")).first()
     assert row.s == [sum(values[:i]) for i in range(n)]
+
+
+def test_numbers_beside_others_are_found(spark):
+    text = "two 4111111111111111 4111111111111111 and +1 (843) 555-7672 4550997810720808"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find_pii(docs).select(pii.redact(F.col("text"), F.col("pii")).alias("t")).first().t
+    assert "4111111111111111" not in found and "555-7672" not in found
