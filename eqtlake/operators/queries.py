@@ -55,14 +55,23 @@ def _probe_side(probes: DataFrame, *more: str) -> DataFrame:
 
 
 def associations(
-    assoc: DataFrame, snps: DataFrame, probes: DataFrame, pval_below: float | None = None
+    assoc: DataFrame,
+    snps: DataFrame,
+    probes: DataFrame,
+    pval_below: float | None = None,
+    snps_first: bool = False,
 ) -> DataFrame:
     """The star join with p-values; ``snps`` and ``probes`` are its filtered sides.
 
-    Facts whose SNP is not in the SNP table are dropped. The threshold is strict.
+    The side that leaves fewer facts is joined first, which matters where the
+    other is too large to broadcast. Facts whose SNP is not in the SNP table are
+    dropped. The threshold is strict.
     """
     doubles = [F.col(c).cast("double").alias(c) for c in ("beta", "se")]
-    joined = assoc.join(probes, "probe_idx").join(snps, "snp_idx")
+    sides = [(probes, "probe_idx"), (snps, "snp_idx")]
+    joined = assoc
+    for side, key in reversed(sides) if snps_first else sides:
+        joined = joined.join(side, key)
     names = [c for c in joined.columns if c not in ("beta", "se")]
     found = joined.select(*names, *doubles, p_value(F.col("beta"), F.col("se")).alias("pval"))
     return found if pval_below is None else found.where(F.col("pval") < pval_below)
@@ -138,7 +147,7 @@ def by_snp(
         assoc = assoc.join(named.select(F.col("row_idx").alias("snp_idx")), "snp_idx", "left_semi")
         place = F.row_number().over(Window.partitionBy("snp_idx", "probe_idx").orderBy("ord"))
         assoc = assoc.withColumn("_place", place).where("_place = 1").drop("_place")
-    found = associations(assoc, snps, _probe_side(ds.probes), pval_below)
+    found = associations(assoc, snps, _probe_side(ds.probes), pval_below, snps_first=True)
     return _result(found, ("pos", "probe_idx", "ord") if ordered else None)
 
 
