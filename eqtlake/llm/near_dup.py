@@ -370,8 +370,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = entries.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
     placed = materialize(entries.join(buckets.drop("last"), "key"), "near-placed")
     star = placed.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    texts = rows.where("doc_id is not null")
-    nodes = placed.select("doc_id").distinct()
+    nodes = materialize(placed.select("doc_id").distinct(), "near-nodes")
+    # Texts of documents in buckets of two or more, moved once for all that follows.
+    texts = materialize(rows.join(nodes, "doc_id"), "near-texts")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         found = confirm_pairs(pairs, reps, texts, width, percent).where("linked")
