@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import BROADCAST_ROWS, materialize, release
 from .fingerprint import U64, batches, mix, ngram_hashes, slices, word_hashes
 
 BINS = 128
@@ -245,20 +245,26 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame, width: in
 def components(nodes: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
     """(doc_id, component_id): the smallest id reachable over ``links`` (a, b).
 
-    Labels start as the ids; each round takes the least label of the neighbours
-    and then the label of the label, and ends when no label changes. Rounds are
-    written to the shared folder. Nodes without links are not shuffled again.
+    Labels start as the least id nearby; each round takes the least label of the
+    neighbours and then the label of that label, and ends when none changes.
+    Rounds are written to the shared folder. Labels are broadcast if they are few,
+    which is counted once, as their number stays; else they are joined.
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), f"{name}-0")
+    few = labels.count() <= BROADCAST_ROWS
     step = 0
     while True:
         step += 1
-        near = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("v")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("lower"))
-        jump = labels.toDF("lower", "jump")
+        side = F.broadcast(labels) if few else labels
+        near = both.join(side.toDF("b", "near"), "b").select(F.col("a").alias("v"), "near", F.lit(None).cast("long").alias("label"))
+        own = labels.select("v", F.col("label").alias("near"), "label")
+        lower = near.union(own).groupBy("v").agg(F.min("label").alias("label"), F.min("near").alias("lower"))
+        jumped = lower.join(side.toDF("lower", "jump"), "lower")
         following = materialize(
-            lower.join(jump, "lower").select("v", F.least("lower", "jump").alias("label"), (F.least("lower", "jump") < F.col("label")).alias("changed")),
+            jumped.select(
+                "v", F.least("lower", "jump").alias("label"), (F.least("lower", "jump") < F.col("label")).alias("changed")
+            ),
             f"{name}-{step}",
         )
         done = following.where("changed").limit(1).count() == 0
