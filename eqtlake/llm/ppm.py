@@ -5,7 +5,10 @@ after every context of up to three bytes. Escapes are estimated by method C
 (an escape weighs as many symbols as the context has seen), with the symbols of
 the longer context excluded in the shorter one. A trained trie gives fixed
 distributions, so each context's is worked out once, and scoring a text is a
-gather over its bytes plus the end symbol.
+gather over its bytes plus the end symbol. Tasks hold the distributions of the
+most frequent three-byte contexts; the symbols after any other are sent to hash
+buckets by context, where the counts of all training texts meet, so every
+context seen has its own distribution however many there are.
 
 Beside it, a unigram base score over words needs the count of every token in the
 training rows; those counts follow the corpus in size and never leave Spark.
@@ -14,7 +17,7 @@ training rows; those counts follow the corpus in size and never leave Spark.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize
-from .fingerprint import batches, bucket_of, slices, split_by, unpack
+from .fingerprint import batches, bucket_of, mix, slices, split_by, unpack
 
 FOLDS = 10
 #: Symbols: 256 bytes and the end of the text.
 SYMBOLS = 257
 END = 256
-#: Contexts of three bytes that get a distribution of their own, the most
-#: frequent first; others escape to two bytes. It bounds the model to 42 MB.
+#: Contexts of three bytes whose distributions every task holds (42 MB), the most
+#: frequent first; those of others are worked out in buckets.
 LONG_CONTEXTS = 40_000
 #: Words whose counts every task holds (1 MB), so that none is a hot key.
 COMMON_WORDS = 65_536
@@ -87,15 +90,17 @@ def _count_grams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Trie:
     """log10 probabilities by context. ``pairs`` maps two bytes to a row of
-    ``short``; ``triples`` maps (row of two bytes, byte) to a row of ``long``."""
+    ``short``; ``triples`` maps (row of two bytes, byte) to a row of ``long``.
+    Without ``short`` it knows only the symbols after contexts in ``long``."""
 
     pairs: np.ndarray
-    short: np.ndarray
+    short: np.ndarray | None
     triples: np.ndarray
     long: np.ndarray
 
-    def log10(self, data: bytes) -> float:
-        """log10 probability of the text with its end."""
+    def log10(self, data: bytes, left: list[np.ndarray] | None = None) -> float:
+        """log10 probability of the text with its end. With ``left`` symbols after
+        contexts outside ``long`` do not count; their codes are added there."""
         total, n = 0.0, len(data) + 1
         whole = b"\0\0\0" + data
         for i in range(0, n, 1 << 18):
@@ -106,9 +111,14 @@ class Trie:
             two = self.pairs[(buf[1 : m + 1] << 8) | buf[2 : m + 2]]
             first = self.pairs[(buf[:m] << 8) | buf[1 : m + 1]]
             three = self.triples[first * 256 + buf[2 : m + 2]]
-            total += float(
-                np.where(three >= 0, self.long[three, symbols], self.short[two, symbols]).sum(dtype=np.float64)
-            )
+            if left is None:
+                other = self.short[two, symbols]
+            else:
+                at = np.flatnonzero(three < 0)
+                before = (buf[at] << 16) | (buf[at + 1] << 8) | buf[at + 2]
+                left.append(before * SYMBOLS + symbols[at])
+                other = 0.0
+            total += float(np.where(three >= 0, self.long[three, symbols], other).sum(dtype=np.float64))
         return total
 
 
@@ -172,10 +182,27 @@ def _rows(contexts: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.n
         yield part, dense
 
 
+def _tail(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """log10 probabilities of sorted (3 bytes, symbol) codes, from the counts of
+    all symbols seen after these contexts."""
+    context, symbol = codes // SYMBOLS, codes % SYMBOLS
+    contexts, out = np.unique(context), np.empty(len(codes))
+    for i in range(0, len(contexts), 2048):
+        part = contexts[i : i + 2048]
+        mine = slice(*np.searchsorted(context, [part[0], part[-1] + 1]))
+        row = np.searchsorted(part, context[mine])
+        dense = np.zeros((len(part), SYMBOLS))
+        dense[row, symbol[mine]] = counts[mine]
+        lower = 10.0 ** short[pairs[part & 65535]].astype(np.float64)
+        out[mine] = np.log10(_escape(dense, lower)[row, symbol[mine]])
+    return out
+
+
 def train(texts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
     """Trie of all texts (one column). Counts are gathered over every text; the
     driver gets those of two-byte contexts (65,536 x 257 at most) and of the
-    ``long_contexts`` most frequent three-byte contexts."""
+    ``long_contexts`` most frequent three-byte contexts, the head; the others'
+    meet in buckets when texts are scored."""
     parts = texts.mapInArrow(_count_grams, "code long, n long")
     counts = materialize(parts.groupBy("code").agg(F.sum("n").alias("n")), "ppm-counts")
     context = F.floor(F.col("code") / SYMBOLS)
@@ -274,15 +301,23 @@ _PAIRS = "bucket int, uid long, trained binary, hashes binary, rows binary, time
 
 
 def _emit(trie, common, buckets: int, kind: pa.DataType):
-    """Per batch: what common words and the end give at once, as the batch's
-    head row, and the other words by bucket."""
+    """Per batch: what common words, the end and the trie's contexts give at once,
+    as the batch's head row, and by bucket the other words and, from bucket
+    ``buckets`` on, the symbols after other contexts."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = trie.value, common.value
         for batch in batches(stream, TaskContext.get().partitionId(), lower=True):
             n = len(batch.ids)
             trained = ~np.array(batch.extra, bool)
-            score = np.array([table.log10(t) for t in batch.texts])
+            score, codes, code_times, code_rows = np.empty(n), [], [], []
+            for i, text in enumerate(batch.texts):
+                left: list[np.ndarray] = []
+                score[i] = table.log10(text, left)
+                own, count = np.unique(np.concatenate(left), return_counts=True)
+                codes.append(own)
+                code_times.append(count)
+                code_rows.append(np.full(len(own), i))
             row = batch.row_of_word()
             order = np.lexsort((batch.words, row))
             h, r = batch.words[order], row[order]
@@ -298,14 +333,26 @@ def _emit(trie, common, buckets: int, kind: pa.DataType):
             hits = np.bincount(r[is_common], times[is_common], n) + (known.ends > 0)
             tokens = np.diff(batch.bounds) + 1
             h, r, times = h[~is_common], r[~is_common], times[~is_common]
-            order, bounds = split_by(bucket_of(h, buckets), buckets)
             sums = np.concatenate([base, hits, tokens, score])
             out = [(-1 - batch.uid % buckets, batch.uid, b"", b"", b"", b"", _ids(batch.ids, kind), sums.tobytes())]
-            for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if j > i:
-                    k = order[i:j]
-                    own, count = r[k].astype(np.uint32), times[k].astype(np.uint32)
-                    out.append((b, batch.uid, trained[own].tobytes(), h[k].tobytes(), own.tobytes(), count.tobytes(), b"", b""))
+            grams = np.concatenate(codes)
+            for low, key, place, r, times in (
+                (0, h, h, r, times),
+                (
+                    buckets,
+                    grams.view(np.uint64),
+                    mix((grams // SYMBOLS).astype(np.uint64)),
+                    np.concatenate(code_rows),
+                    np.concatenate(code_times),
+                ),
+            ):
+                order, bounds = split_by(bucket_of(place, buckets), buckets)
+                for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    if j > i:
+                        k = order[i:j]
+                        own, count = r[k].astype(np.uint32), times[k].astype(np.uint32)
+                        packed = (trained[own].tobytes(), key[k].tobytes(), own.tobytes(), count.tobytes())
+                        out.append((low + b, batch.uid, *packed, b"", b""))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA
             )
@@ -327,33 +374,40 @@ def _ids(ids: list, kind: pa.DataType) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _look_up(group: pa.Table) -> pa.Table:
-    """Counts of a bucket's words in training rows, summed per document."""
-    uid = group.column("uid").to_numpy()
-    if group.column("bucket")[0].as_py() < 0:
-        return pa.table({c: group.column(c) for c in ("uid", "rows", "ids", "sums")})
-    hashes, at = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True)
-    times = unpack(group.column("times"), np.uint32).astype(np.int64)
-    trained = unpack(group.column("trained"), bool)
-    count = np.bincount(at, times * trained, len(hashes))[at]
-    log = times * np.log10(count + ALPHA)
-    known = times * (count > 0)
-    rows, out, begin = unpack(group.column("rows"), np.uint32), [], 0
-    for u, blob in zip(uid.tolist(), group.column("rows").to_pylist(), strict=True):
-        n = len(blob) // 4
-        own, inverse = np.unique(rows[begin : begin + n], return_inverse=True)
-        part = slice(begin, begin + n)
-        sums = np.concatenate([np.bincount(inverse, log[part], len(own)), np.bincount(inverse, known[part], len(own))])
-        out.append((u, own.tobytes(), sums.tobytes()))
-        begin += n
-    return pa.table(
-        {
-            "uid": pa.array([x[0] for x in out], pa.int64()),
-            "rows": pa.array([x[1] for x in out], pa.binary()),
-            "ids": pa.array([b""] * len(out), pa.binary()),
-            "sums": pa.array([x[2] for x in out], pa.binary()),
-        }
-    )
+def _look_up(lower, buckets: int):
+    """Counts of a bucket's words or symbols in training rows, and what they give
+    summed per document: two sums for words, one for symbols."""
+
+    def run(group: pa.Table) -> pa.Table:
+        uid, bucket = group.column("uid").to_numpy(), group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table({c: group.column(c) for c in ("uid", "rows", "ids", "sums")})
+        keys, at = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True)
+        times = unpack(group.column("times"), np.uint32).astype(np.int64)
+        trained = unpack(group.column("trained"), bool)
+        count = np.bincount(at, times * trained, len(keys))
+        if bucket < buckets:
+            gives = [times * np.log10(count[at] + ALPHA), times * (count[at] > 0)]
+        else:
+            gives = [times * _tail(keys.view(np.int64), count, *lower.value)[at]]
+        rows, out, begin = unpack(group.column("rows"), np.uint32), [], 0
+        for u, blob in zip(uid.tolist(), group.column("rows").to_pylist(), strict=True):
+            n = len(blob) // 4
+            own, inverse = np.unique(rows[begin : begin + n], return_inverse=True)
+            part = slice(begin, begin + n)
+            sums = np.concatenate([np.bincount(inverse, x[part], len(own)) for x in gives])
+            out.append((u, own.tobytes(), sums.tobytes()))
+            begin += n
+        return pa.table(
+            {
+                "uid": pa.array([x[0] for x in out], pa.int64()),
+                "rows": pa.array([x[1] for x in out], pa.binary()),
+                "ids": pa.array([b""] * len(out), pa.binary()),
+                "sums": pa.array([x[2] for x in out], pa.binary()),
+            }
+        )
+
+    return run
 
 
 def _finish(group: pa.Table) -> pa.Table:
@@ -366,9 +420,12 @@ def _finish(group: pa.Table) -> pa.Table:
     # Sorted, so that sums of doubles do not depend on arrival.
     for rows, _, sums in sorted(x for x in parts if not x[1]):
         own = np.frombuffer(rows, np.uint32)
-        log, known = np.frombuffer(sums).reshape(2, len(own))
-        base[own] += log
-        hits[own] += known
+        given = np.frombuffer(sums).reshape(-1, len(own))
+        if len(given) == 1:
+            score[own] += given[0]
+        else:
+            base[own] += given[0]
+            hits[own] += given[1]
     return pa.table(
         {
             "doc_id": ids,
@@ -380,28 +437,29 @@ def _finish(group: pa.Table) -> pa.Table:
     )
 
 
-def score_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, buckets: int | None = None, long_contexts: int = LONG_CONTEXTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose crc32 of the id modulo FOLDS is not 0 train both models; every row
     is scored. A null or empty text has the end token only. Null and repeated
     ids and repeated rows each give a row. An empty table gives an empty result.
-    Columns besides doc_id and text are ignored. ``buckets`` of words are worked
-    on one by one; they default to four for each shuffle partition, so their
-    size stays even as partitions follow the input.
+    Columns besides doc_id and text are ignored. ``buckets`` of words, and as many
+    of contexts, are worked on one by one; they default to four for each shuffle
+    partition, so their size stays even as partitions follow the input.
+    ``long_contexts`` bounds what every task holds, not what the scores rest on.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id")) == 0).alias("held_out"))
     seen = rows.where("not held_out")
-    trie = train(seen.select("text"))
+    trie = train(seen.select("text"), long_contexts)
     words = count_words(seen.select("doc_id", "text"), buckets)
     send = spark.sparkContext.broadcast
     kind = docs.schema["doc_id"].dataType
     parts = (
-        rows.mapInArrow(_emit(send(trie), send(words), buckets, to_arrow_type(kind)), _PAIRS)
+        rows.mapInArrow(_emit(send(replace(trie, short=None)), send(words), buckets, to_arrow_type(kind)), _PAIRS)
         .groupBy("bucket")
-        .applyInArrow(_look_up, "uid long, rows binary, ids binary, sums binary")
+        .applyInArrow(_look_up(send((trie.pairs, trie.short)), buckets), "uid long, rows binary, ids binary, sums binary")
         .groupBy("uid")
         .applyInArrow(_finish, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
     )

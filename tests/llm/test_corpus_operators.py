@@ -183,6 +183,22 @@ def test_lm_scores(docs, odd_docs, no_docs):
     assert ppm.score_documents(no_docs).collect() == []
 
 
+def test_lm_scores_beyond_the_head(spark):
+    """More three-byte contexts than tasks hold, against all of them."""
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA6)) for _ in range(2000)) for _ in range(30)]
+    texts += [t[i : i + 30] for t in texts[:4] for i in (0, 700)]
+    rows = list(enumerate(texts))
+    train = [t.encode() for i, t in rows if crc(i) % 10]
+    contexts = {(b"\0\0\0" + t)[i : i + 3] for t in train for i in range(len(t) + 1)}
+    assert len(contexts) > ppm.LONG_CONTEXTS + 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {i: brute.ppm(train, t.encode()) for i, t in rows[30:]}
+    for how in ({}, {"buckets": 3, "long_contexts": 7}):
+        got = {r.doc_id: r.score for r in ppm.score_documents(docs, **how).where("doc_id >= 30").collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_lm_distribution_sums_to_one():
     codes = np.concatenate([ppm.gram_codes(t) for t in (b"abracadabra", b"alakazam", b"")])
     three, n3 = np.unique(codes, return_counts=True)
