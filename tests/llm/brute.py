@@ -214,3 +214,99 @@ def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out[-1][1] = y + 1
     return [tuple(x) for x in out]
+
+
+# ---- the pipeline's stages, and scores of many texts at once
+
+
+def cut(text: str, items: list[tuple]) -> str:
+    """Text without its words inside any item's window."""
+    w, hit = item_words(text), set()
+    for _, t in items:
+        own = item_words(t)
+        n = min(13, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+        hit.update(j for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n))
+    at = iter(range(len(w)))
+    return re.sub(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lambda m: "" if next(at) in hit else m[0], text)
+
+
+def mod97(value: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
+#: Score and context words of PII, then the kinds beside them.
+CARD_WORDS = "card|visa|credit|payment"
+REDACTED = [
+    (*PII[0], 0.9, "mail|contact|write"),
+    (*PII[1], 0.6, "ip|host|server|address"),
+    (*PII[2], 0.8, CARD_WORDS),
+    (*PII[3], 0.6, "phone|call|tel|mobile"),
+    ("iban", r"(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w)", lambda m: mod97(m[0]), 0.8, "iban|account|bank"),
+    ("card_run", r"(?<!\w)[0-9]{14,19}(?!\w)", lambda m: luhn(m[0]), 0.7, CARD_WORDS),
+    ("phone_nanp", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?!\w)", lambda m: True, 0.6, "phone|call|tel"),
+    ("ssn", r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)", lambda m: True, 0.3, "ssn|social|security"),
+]
+
+
+def redacted(text: str) -> str:
+    found = []
+    for rank, (kind, pattern, valid, score, near) in enumerate(REDACTED):
+        for m in re.finditer(pattern, text, re.ASCII):
+            around = text[max(0, m.start() - 60) : m.start()] + " " + text[m.end() : m.end() + 60]
+            if valid(m) and score + 0.35 * bool(re.search(rf"(?ai)(?<!\w)({near})", around)) >= 0.5:
+                found.append((m.start(), rank, m.end(), kind))
+    out, at = "", 0
+    for start, _, end, kind in sorted(found):
+        if start >= at:
+            out += f"{text[at:start]}[{kind.upper()}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def mixed(rows: list[tuple], key: dict) -> list[tuple]:
+    """(doc_id, size, source_size, target, taken) of (doc_id, source, size) rows;
+    ``key`` orders a source's last pass."""
+    want, out = mixing([x[1:] for x in rows]), []
+    for s, (size, target) in want.items():
+        budget = math.floor(target + 0.5)
+        times = budget // size if size else 0
+        rest = budget - times * size
+        for i, _, n in sorted((x for x in rows if x[1] == s), key=lambda x: (key[x[0]], x[0], x[2])):
+            last = max(0, min(n, rest))
+            rest -= last
+            out.append((i, n, size, target, times * n + last))
+    return sorted(out)
+
+
+def unigram_all(train: list[str], texts: list[str]) -> list[tuple]:
+    """What ``unigram`` gives of each text."""
+    tokens = lambda t: [*words((t or "").translate(LETTERS)), None]
+    c = Counter(w for t in train for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    log = lambda w: math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1)))
+    return [(len(own), sum(c[w] > 0 for w in own), n, sum(map(log, own))) for own in map(tokens, texts)]
+
+
+def ppm_all(train: list[bytes], texts: list[bytes], order: int = 3) -> list[float]:
+    """What ``ppm`` gives of each text; a context's distribution is kept."""
+    counts: dict[bytes, Counter] = defaultdict(Counter)
+    grams = lambda t: [(w[i - order : i], w[i] if i < len(w) else 256) for w in [b"\0" * order + t] for i in range(order, len(w) + 1)]
+    for context, symbol in (x for t in train for x in grams(t)):
+        for k in range(order + 1):
+            counts[context[order - k :]][symbol] += 1
+    kept: dict[bytes, list[float]] = {}
+
+    def distribution(context: bytes) -> list[float]:
+        if context not in kept:
+            lower = distribution(context[1:]) if context else [1.0] * 257
+            own = counts.get(context, {})
+            total, kinds = sum(own.values()), len(own)
+            rest = sum(x for s, x in enumerate(lower) if s not in own)
+            escape = kinds / (total + kinds) if own else 1.0
+            out = [own[s] / (total + kinds) if s in own else escape * x / rest for s, x in enumerate(lower)]
+            total = sum(out)
+            kept[context] = [x / total for x in out]
+        return kept[context]
+
+    return [sum(math.log10(distribution(c)[s]) for c, s in grams(t)) for t in texts]

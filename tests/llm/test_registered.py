@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from eqtlake.llm import mixing, op_queries
+from eqtlake.llm import classifier, mixing, op_queries
 from eqtlake.plans import explain
 from tests import support
 
@@ -86,6 +86,71 @@ def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def by_hand(spark, sf):
+    """What each stage makes of rows of COLUMNS, in plain Python but for the fitted model."""
+    docs, labels, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
+    model = classifier.fit(*classifier.training_rows(docs, labels))
+    items = [(r.item_id, r.text) for r in items.collect()]
+    key = dict(docs.select("doc_id", mixing.hash_key(F.col("doc_id"), 17)).collect())
+
+    def good(rows):
+        return [x for x in rows if model.score([x[1]], {})[0] >= classifier.THRESHOLD]
+
+    def apart(rows):
+        component = brute.components([x[:2] for x in rows], 5, 80)
+        return [x for x in rows if component[x[0]] == x[0]]
+
+    def clean(rows):
+        out = []
+        for i, t, *rest, _ in rows:
+            n, hit, _ = brute.contamination(t, items)
+            if not hit or 20 * hit < n:
+                left = brute.cut(t, items)
+                out.append((i, left, *rest, len(left)))
+        return out
+
+    def private(rows):
+        return [(i, t, *rest, len(t)) for i, t, *rest, _ in ((x[0], brute.redacted(x[1]), *x[2:]) for x in rows)]
+
+    def mix(rows):
+        return brute.mixed([(x[0], x[3], len(brute.words(x[1]))) for x in rows], key)
+
+    return dict(zip(dict(corpus_pipeline.STAGES), (good, apart, clean, private, mix), strict=True))
+
+
+def same_mix(got, want):
+    assert [(*x[:3], x[4]) for x in got] == [(*x[:3], x[4]) for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_all_rows_of_stages_and_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rows = sorted(map(tuple, docs.collect()))
+    hand, kept = by_hand(spark, SF), rows
+    for name, stage in corpus_pipeline.STAGES:
+        got = sorted(map(tuple, stage(spark, docs, SF).collect()))
+        if name == "source_mixing":
+            same_mix(got, hand[name](rows))
+        else:
+            assert got == sorted(hand[name](rows)), name
+            assert got != rows, name
+        kept = hand[name](kept)
+    same_mix(sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())), kept)
+
+
+def test_every_row_of_the_language_model(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    train = [t for i, t in docs.items() if crc(i) % 10]
+    base = dict(zip(docs, brute.unigram_all(train, list(docs.values())), strict=True))
+    score = dict(zip(docs, brute.ppm_all([t.encode() for t in train], [t.encode() for t in docs.values()]), strict=True))
+    got = op_queries.op10_lm_scoring(spark, SF).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in got} == {i: x[:3] for i, x in base.items()}
+    assert len(got) == len(docs) and all(r.held_out == (crc(r.doc_id) % 10 == 0) for r in got)
+    for r in got:
+        assert r.base_score == pytest.approx(base[r.doc_id][3], rel=1e-9)
+        assert r.score == pytest.approx(score[r.doc_id], rel=1e-5)
+
+
 def test_op_tables_keep_every_row(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     mixed = mixing.mix_sources(spark.read.parquet(f"{SF}/documents.parquet"))
