@@ -50,6 +50,20 @@ def mod97(value: Column) -> Column:
     return rest == 1
 
 
+def whole_account(value: Column) -> Column:
+    """The longest run of groups from the head on that is an account number, as
+    words after it may look like groups; null if there is none."""
+
+    def on(groups: Column) -> Column:
+        heads = F.transform(
+            F.reverse(F.sequence(F.lit(1), F.size(groups))), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " ")
+        )
+        plain = lambda x: F.regexp_replace(x, " ", "")
+        return F.get(F.filter(heads, lambda x: F.length(plain(x)).between(15, 34) & mod97(plain(x))), F.lit(0))
+
+    return let(F.split(value, " "), on)
+
+
 def ip_parts(value: Column) -> Column:
     octet = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     return value.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$")
@@ -61,7 +75,9 @@ def digit_count(low: int, high: int) -> Callable[[Column], Column]:
 
 @dataclass(frozen=True)
 class Detector:
-    """``needs`` are characters without which a text has no match."""
+    """``needs`` are characters without which a text has no match. With ``ahead``
+    the pattern matches a head, looks ahead for the span in group 1, and ``ahead``
+    gives the span of that or null, so that candidates may overlap."""
 
     kind: str
     pattern: str
@@ -69,6 +85,7 @@ class Detector:
     score: float
     context: tuple[str, ...]
     needs: str = ""
+    ahead: Callable[[Column], Column] | None = None
 
 
 # Base kinds. The expressions state the asked-for ones with possessive
@@ -108,6 +125,23 @@ MORE = (
     ),
     Detector("phone_nanp", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![A-Za-z0-9_])", None, 0.6, ("phone", "call", "tel"), "+"),
     Detector("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", None, 0.3, ("ssn", "social", "security")),
+    # Printed in groups, with other groups before or after them.
+    Detector(
+        "card_groups",
+        r"(?<![A-Za-z0-9_])(?=([0-9]{4}[\x20-](?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|[0-9]{6}[\x20-][0-9]{5}))(?![A-Za-z0-9_]))[0-9]{4}",
+        None,
+        0.7,
+        ("card", "visa", "credit", "payment"),
+        ahead=lambda v: F.when(luhn(v), v),
+    ),
+    Detector(
+        "iban_groups",
+        r"(?<![A-Za-z0-9_])(?=([A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}(?![A-Za-z0-9_])){2,7}(?:\x20[A-Z0-9]{1,3}(?![A-Za-z0-9_]))?))[A-Z]{2}[0-9]{2}",
+        None,
+        0.8,
+        ("iban", "account", "bank"),
+        ahead=whole_account,
+    ),
 )
 DETECTORS = BASE + MORE
 
@@ -134,7 +168,9 @@ def annotate(docs: DataFrame, detectors: Sequence[Detector] = DETECTORS, thresho
 
 
 def _found(text: Column, rank: int, detector: Detector, threshold: float) -> Column:
-    spans = match_spans(text, detector.pattern, detector.kind, rank)
+    spans = match_spans(text, detector.pattern, detector.kind, rank, 1 if detector.ahead else 0)
+    if detector.ahead is not None:
+        spans = F.filter(F.transform(spans, lambda s: _reaching(s, detector.ahead(s["value"]))), lambda s: s["value"].isNotNull())
     if detector.valid is not None:
         spans = F.filter(spans, lambda s: detector.valid(s["match"]))
     near = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(detector.context) + r")"
@@ -157,6 +193,20 @@ def _found(text: Column, rank: int, detector: Detector, threshold: float) -> Col
     return kept
 
 
+def _reaching(span: Column, value: Column) -> Column:
+    return let(
+        value,
+        lambda v: F.struct(
+            span["start"].alias("start"),
+            span["rank"].alias("rank"),
+            (span["start"] + F.length(v)).cast("long").alias("end"),
+            span["kind"].alias("kind"),
+            v.alias("match"),
+            v.alias("value"),
+        ),
+    )
+
+
 def _with_score(span: Column, score: Column) -> Column:
     fields = ("start", "rank", "end", "kind", "match", "value")
     return F.struct(*[span[k].alias(k) for k in fields], score.alias("score"))
