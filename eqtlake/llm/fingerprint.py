@@ -84,13 +84,8 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Batch:
-    """Rows of one task's input and the hashes of all their words.
+    """Rows in their order and the hashes of all their words."""
 
-    ``uid`` names the batch; it is the same when a lost task runs again, as a
-    task's input rows keep their order.
-    """
-
-    uid: int
     ids: list
     texts: list[bytes]
     extra: list
@@ -100,13 +95,6 @@ class Batch:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
 
-    def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of n-grams that stay inside one row, and their first words."""
-        h = ngram_hashes(self.words, n)
-        row = self.row_of_word()
-        at = np.flatnonzero(row[: len(h)] == row[n - 1 :]) if len(h) else np.empty(0, np.int64)
-        return h[at], at
-
 
 def hash_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and where each text begins."""
@@ -152,7 +140,6 @@ def give_back() -> None:
 
 def batches(
     stream: Iterable[pa.RecordBatch],
-    partition: int,
     size: int = 2 << 20,
     lower: bool = False,
     words: bool = True,
@@ -166,11 +153,11 @@ def batches(
     ids: list = []
     texts: list[bytes] = []
     extra: list = []
-    held = number = 0
+    held = 0
 
     def made() -> Batch:
         hashed = hash_rows(([t.lower() for t in texts] if lower else texts) if words else [])
-        return Batch((partition << 32) | number, ids, texts, extra, *hashed)
+        return Batch(ids, texts, extra, *hashed)
 
     for part in slices(stream):
         column = part.column(1).cast(pa.large_binary()).to_pylist()
@@ -182,7 +169,7 @@ def batches(
             held += len(texts[-1])
             if held >= size:
                 yield made()
-                ids, texts, extra, held, number = [], [], [], 0, number + 1
+                ids, texts, extra, held = [], [], [], 0
     if ids:
         yield made()
 
@@ -200,19 +187,3 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         low[take] = other[take]
         best[take] = np.arange(k, k + m)[take]
     return best
-
-
-def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by bucket and the bounds of each of ``n`` buckets in it."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
-
-
-def unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    """The blobs of a column, one after another."""
-    parts = [np.frombuffer(x, dtype) for x in column.to_pylist()]
-    return np.concatenate(parts) if parts else np.empty(0, dtype)

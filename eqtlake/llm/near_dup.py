@@ -89,7 +89,7 @@ def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, 0, lower=True):
+        for batch in batches(stream, lower=True):
             sizes, keys, sigs, bands = [], [], [], []
             for i, j in zip(batch.bounds[:-1], batch.bounds[1:], strict=True):
                 s = shingle_set(batch.words[i:j], width)

@@ -6,9 +6,9 @@ after every context of up to three bytes. Escapes are estimated by method C
 the longer context excluded in the shorter one. A trained trie gives fixed
 distributions, so each context's is worked out once, and scoring a text is a
 gather over its bytes plus the end symbol. Tasks hold the distributions of the
-most frequent three-byte contexts; the symbols after any other are sent to hash
-buckets by context, where the counts of all training texts meet, so every
-context seen has its own distribution however many there are.
+most frequent three-byte contexts, the head; those of all others stay in a table,
+and a pack of texts asks for the ones that it has, so every context seen has its
+own distribution however many there are.
 
 Beside it, a unigram base score over words needs the count of every token in the
 training rows; those counts follow the corpus in size and never leave Spark.
@@ -17,27 +17,26 @@ training rows; those counts follow the corpus in size and never leave Spark.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize
-from .fingerprint import batches, bucket_of, mix, slices, split_by, unpack
+from .common import materialize, release
+from .packs import Pack, answers, each_pack, entries, is_in, pack_texts
 
 FOLDS = 10
 #: Symbols: 256 bytes and the end of the text.
 SYMBOLS = 257
 END = 256
-#: Contexts of three bytes whose distributions every task holds (42 MB), the most
-#: frequent first; those of others are worked out in buckets.
+#: Contexts of three bytes whose distributions every task holds, the most frequent
+#: first. A task's model takes 41 MB for them, at most 68 MB for contexts of two
+#: bytes and at most 68 MB for the places of three; others are looked up.
 LONG_CONTEXTS = 40_000
-#: Words whose counts every task holds (1 MB), so that none is a hot key.
-COMMON_WORDS = 65_536
+#: Distinct (context, symbol) codes that a task gathers before it sends them on.
+HELD_CODES = 4 << 20
 ALPHA = 0.1
 
 
@@ -61,46 +60,63 @@ def gram_codes(data: bytes) -> np.ndarray:
 
 
 def _count_grams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) of the flagged texts, summed over the task as far as memory allows."""
     codes = np.empty(0, np.int64)
     counts = np.empty(0, np.int64)
-    held: list[np.ndarray] = []
-    size = 0
-
-    def merge() -> None:
-        nonlocal codes, counts, held, size
+    for pack in each_pack(stream):
+        held = [gram_codes(t) for t, own in zip(pack.texts(), pack.flags, strict=True) if own]
+        if not held:
+            continue
         new, n = np.unique(np.concatenate(held), return_counts=True)
-        held, size = [], 0
         codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
         counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+        if len(codes) >= HELD_CODES:
+            yield from _counted(codes, counts)
+            codes, counts = codes[:0], counts[:0]
+    yield from _counted(codes, counts)
+
 
-    for batch in slices(stream):
-        for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-            held.append(gram_codes(text or b""))
-            size += len(held[-1])
-            if size >= 4 << 20:
-                merge()
-    if held:
-        merge()
+def _counted(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(codes), 200_000):
         yield pa.RecordBatch.from_arrays(
             [pa.array(codes[i : i + 200_000]), pa.array(counts[i : i + 200_000])], names=["code", "n"]
         )
 
 
+@dataclass
+class Tails:
+    """Distributions of a pack's contexts outside the head: sorted codes seen with
+    their log10 probabilities, and for the symbols that a context has not seen what
+    is added to those after its last two bytes."""
+
+    codes: np.ndarray
+    logs: np.ndarray
+    contexts: np.ndarray
+    unseen: np.ndarray
+
+    def log10(self, context: np.ndarray, symbol: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        out = shorter.astype(np.float64)
+        known = is_in(context, self.contexts)
+        out[known] += self.unseen[np.searchsorted(self.contexts, context[known])]
+        code = context * SYMBOLS + symbol
+        seen = is_in(code, self.codes)
+        out[seen] = self.logs[np.searchsorted(self.codes, code[seen])]
+        return out
+
+
 @dataclass
 class Trie:
     """log10 probabilities by context. ``pairs`` maps two bytes to a row of
-    ``short``; ``triples`` maps (row of two bytes, byte) to a row of ``long``.
-    Without ``short`` it knows only the symbols after contexts in ``long``."""
+    ``short``; ``triples`` maps (row of two bytes, byte) to a row of ``long``."""
 
     pairs: np.ndarray
-    short: np.ndarray | None
+    short: np.ndarray
     triples: np.ndarray
     long: np.ndarray
 
-    def log10(self, data: bytes, left: list[np.ndarray] | None = None) -> float:
-        """log10 probability of the text with its end. With ``left`` symbols after
-        contexts outside ``long`` do not count; their codes are added there."""
+    def log10(self, data: bytes, tails: Tails | None = None) -> float:
+        """log10 probability of the text with its end; contexts outside ``long`` go
+        by ``tails`` and then by their last two bytes."""
         total, n = 0.0, len(data) + 1
         whole = b"\0\0\0" + data
         for i in range(0, n, 1 << 18):
@@ -111,16 +127,19 @@ class Trie:
             two = self.pairs[(buf[1 : m + 1] << 8) | buf[2 : m + 2]]
             first = self.pairs[(buf[:m] << 8) | buf[1 : m + 1]]
             three = self.triples[first * 256 + buf[2 : m + 2]]
-            if left is None:
-                other = self.short[two, symbols]
-            else:
-                at = np.flatnonzero(three < 0)
-                before = (buf[at] << 16) | (buf[at + 1] << 8) | buf[at + 2]
-                left.append(before * SYMBOLS + symbols[at])
-                other = 0.0
-            total += float(np.where(three >= 0, self.long[three, symbols], other).sum(dtype=np.float64))
+            at = np.flatnonzero(three < 0)
+            total += float(self.long[np.maximum(three, 0), symbols].sum(dtype=np.float64, where=three >= 0))
+            if len(at):
+                other = self.short[two[at], symbols[at]]
+                if tails is not None:
+                    before = (buf[at] << 16) | (buf[at + 1] << 8) | buf[at + 2]
+                    other = tails.log10(before, symbols[at], other)
+                total += float(other.sum(dtype=np.float64))
         return total
 
+    def in_long(self, contexts: np.ndarray) -> np.ndarray:
+        return self.triples[self.pairs[contexts >> 8] * 256 + (contexts & 255)] >= 0
+
 
 def _escape(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Symbol probabilities of contexts, one row of ``counts`` each.
@@ -182,29 +201,55 @@ def _rows(contexts: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.n
         yield part, dense
 
 
-def _tail(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """log10 probabilities of sorted (3 bytes, symbol) codes, from the counts of
-    all symbols seen after these contexts."""
+def _tails(lower):
+    """Distributions of contexts from their (code, n), sorted by code and whole in
+    a partition; a context has at most SYMBOLS rows."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        for batch in stream:
+            codes, n = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("code", "n"), strict=True))
+            if len(codes):
+                whole = np.searchsorted(codes, codes[-1] // SYMBOLS * SYMBOLS)
+                held = (codes[whole:], n[whole:])
+                yield from _distributions(codes[:whole], n[:whole], *lower.value)
+        yield from _distributions(*held, *lower.value)
+
+    return run
+
+
+_TAIL = "context int, symbols binary, logs binary, unseen double"
+
+
+def _distributions(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, short: np.ndarray) -> Iterator[pa.RecordBatch]:
     context, symbol = codes // SYMBOLS, codes % SYMBOLS
-    contexts, out = np.unique(context), np.empty(len(codes))
-    for i in range(0, len(contexts), 2048):
-        part = contexts[i : i + 2048]
-        mine = slice(*np.searchsorted(context, [part[0], part[-1] + 1]))
-        row = np.searchsorted(part, context[mine])
-        dense = np.zeros((len(part), SYMBOLS))
-        dense[row, symbol[mine]] = counts[mine]
+    for part, dense in _rows(np.unique(context), context, symbol, counts):
         lower = 10.0 ** short[pairs[part & 65535]].astype(np.float64)
-        out[mine] = np.log10(_escape(dense, lower)[row, symbol[mine]])
-    return out
+        out = np.log10(np.maximum(_escape(dense, lower), 1e-300))
+        # What an escape adds is the same for all symbols that were not seen.
+        gap = np.argmin(dense > 0, 1)
+        unseen = (out - np.log10(lower))[np.arange(len(part)), gap]
+        rows = [
+            (int(c), np.flatnonzero(d).astype(np.uint16).tobytes(), o[d > 0].tobytes(), float(u))
+            for c, d, o, u in zip(part, dense, out, unseen, strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.float64()), strict=True)],
+            names=["context", "symbols", "logs", "unseen"],
+        )
+
+
+def count_grams(packs: DataFrame) -> DataFrame:
+    """(code, n): how often each symbol follows each context of three bytes in the
+    flagged texts of all packs."""
+    parts = packs.mapInArrow(_count_grams, "code long, n long")
+    return materialize(parts.groupBy("code").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
-def train(texts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
-    """Trie of all texts (one column). Counts are gathered over every text; the
-    driver gets those of two-byte contexts (65,536 x 257 at most) and of the
-    ``long_contexts`` most frequent three-byte contexts, the head; the others'
-    meet in buckets when texts are scored."""
-    parts = texts.mapInArrow(_count_grams, "code long, n long")
-    counts = materialize(parts.groupBy("code").agg(F.sum("n").alias("n")), "ppm-counts")
+def train(counts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
+    """Trie from the counts of all texts. The driver gets those of two-byte contexts
+    (65,536 x 257 at most) and of the ``long_contexts`` most frequent three-byte
+    contexts, the head; the others stay in the table."""
     context = F.floor(F.col("code") / SYMBOLS)
     two = counts.groupBy(((context % 65536) * SYMBOLS + F.col("code") % SYMBOLS).alias("code")).agg(
         F.sum("n").alias("n")
@@ -221,255 +266,116 @@ def train(texts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
     return build_trie(*[t.column(c).to_numpy() for t in (pair, triple) for c in ("code", "n")])
 
 
-# ---- word counts ----------------------------------------------------------
+# ---- what packs ask for ---------------------------------------------------
 
 
-@dataclass
-class WordCounts:
-    """Training tokens, distinct ones, rows (each has one end token), and the
-    commonest words' counts by hash."""
+def _ask_words(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, hash, n): a pack's distinct words and how often flagged texts have them."""
+    for pack in each_pack(stream):
+        batch = pack.batch(lower=True)
+        found, of = np.unique(batch.words, return_inverse=True)
+        n = np.bincount(of, pack.flags[batch.row_of_word()], len(found)).astype(np.int64)
+        yield entries(pack.uid, hash=found.view(np.int64), n=n)
 
-    tokens: int
-    distinct: int
-    ends: int
-    hashes: np.ndarray
-    counts: np.ndarray
 
+def _ask_contexts(trie):
+    """(uid, context): a pack's distinct contexts that are not in the head."""
 
-def _count_words(buckets: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, rows = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-        for batch in batches(stream, 0, lower=True):
-            rows += len(batch.ids)
-            new, n = np.unique(batch.words, return_counts=True)
-            hashes, at = np.unique(np.concatenate([hashes, new]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(hashes)).astype(np.int64)
-        order, bounds = split_by(bucket_of(hashes, buckets), buckets)
-        out = [
-            (b, hashes[order[i:j]].tobytes(), counts[order[i:j]].tobytes(), rows if b == 0 else 0)
-            for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-            if j > i or (b == 0 and rows)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in out], pa.int32()),
-                pa.array([x[1] for x in out], pa.binary()),
-                pa.array([x[2] for x in out], pa.binary()),
-                pa.array([x[3] for x in out], pa.int64()),
-            ],
-            names=["bucket", "hashes", "counts", "rows"],
-        )
+        seen = np.zeros(1 << 24, bool)
+        for pack in each_pack(stream):
+            for text in pack.texts():
+                seen[gram_codes(text) // SYMBOLS] = True
+            found = np.flatnonzero(seen)
+            seen[found] = False
+            yield entries(pack.uid, context=found[~trie.value.in_long(found)].astype(np.int32))
 
     return run
 
 
-def _merge_words(group: pa.Table) -> pa.Table:
-    hashes, at = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True)
-    counts = np.bincount(at, unpack(group.column("counts"), np.int64), len(hashes)).astype(np.int64)
-    top = np.lexsort((hashes, -counts))[:COMMON_WORDS]
-    kinds = np.zeros(len(top) + 1, np.int64)
-    # The first row carries the bucket's sums: tokens, distinct tokens, rows.
-    return pa.table(
-        {
-            "hash": pa.array(np.append([len(hashes)], hashes[top].view(np.int64))),
-            "n": pa.array(np.append([int(counts.sum())], counts[top])),
-            "rows": pa.array(np.append([sum(group.column("rows").to_pylist())], kinds[1:])),
-            "is_sum": pa.array(np.append([True], np.zeros(len(top), bool))),
-        }
-    )
-
-
-def count_words(rows: DataFrame, buckets: int) -> WordCounts:
-    """Counts of all tokens of (doc_id, text); each row ends with one end token."""
-    merged = materialize(
-        rows.mapInArrow(_count_words(buckets), "bucket int, hashes binary, counts binary, rows long")
-        .groupBy("bucket")
-        .applyInArrow(_merge_words, "hash long, n long, rows long, is_sum boolean"),
-        "ppm-words",
+def _pack_tails(pack: Pack) -> Tails | None:
+    found = pack.found("tails")
+    if not len(found):
+        return None
+    context = found.field("context").to_numpy().astype(np.int64)
+    symbols, logs = (found.field(c).to_pylist() for c in ("symbols", "logs"))
+    codes = np.repeat(context, [len(x) // 2 for x in symbols]) * SYMBOLS + np.frombuffer(b"".join(symbols), np.uint16)
+    order, place = np.argsort(codes), np.argsort(context)
+    return Tails(
+        codes[order], np.frombuffer(b"".join(logs))[order], context[place], found.field("unseen").to_numpy()[place]
     )
-    sums = merged.where("is_sum").agg(F.sum("n"), F.sum("hash"), F.sum("rows")).first()
-    words, distinct, ends = (x or 0 for x in sums)
-    top = merged.where("not is_sum").orderBy(F.desc("n"), "hash").limit(COMMON_WORDS).select("hash", "n").toArrow()
-    hashes = top.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return WordCounts(words + ends, distinct + (1 if ends else 0), ends, hashes[order], top.column("n").to_numpy()[order])
-
-
-# ---- scoring --------------------------------------------------------------
-
-_PAIRS = "bucket int, uid long, trained binary, hashes binary, rows binary, times binary, ids binary, sums binary"
 
 
-def _emit(trie, common, buckets: int, kind: pa.DataType):
-    """Per batch: what common words, the end and the trie's contexts give at once,
-    as the batch's head row, and by bucket the other words and, from bucket
-    ``buckets`` on, the symbols after other contexts."""
-
+def _score(trie, ends: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = trie.value, common.value
-        for batch in batches(stream, TaskContext.get().partitionId(), lower=True):
-            n = len(batch.ids)
-            trained = ~np.array(batch.extra, bool)
-            score, codes, code_times, code_rows = np.empty(n), [], [], []
-            for i, text in enumerate(batch.texts):
-                left: list[np.ndarray] = []
-                score[i] = table.log10(text, left)
-                own, count = np.unique(np.concatenate(left), return_counts=True)
-                codes.append(own)
-                code_times.append(count)
-                code_rows.append(np.full(len(own), i))
-            row = batch.row_of_word()
-            order = np.lexsort((batch.words, row))
-            h, r = batch.words[order], row[order]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            start = np.flatnonzero(first)
-            times = np.diff(np.append(start, len(h)))
-            h, r = h[start], r[start]
-            at = np.minimum(np.searchsorted(known.hashes, h), max(len(known.hashes) - 1, 0))
-            is_common = known.hashes[at] == h if len(known.hashes) else np.zeros(len(h), bool)
-            log = np.log10(known.counts[at[is_common]] + ALPHA) if is_common.any() else np.empty(0)
-            base = np.bincount(r[is_common], times[is_common] * log, n) + np.log10(known.ends + ALPHA)
-            hits = np.bincount(r[is_common], times[is_common], n) + (known.ends > 0)
-            tokens = np.diff(batch.bounds) + 1
-            h, r, times = h[~is_common], r[~is_common], times[~is_common]
-            sums = np.concatenate([base, hits, tokens, score])
-            out = [(-1 - batch.uid % buckets, batch.uid, b"", b"", b"", b"", _ids(batch.ids, kind), sums.tobytes())]
-            grams = np.concatenate(codes)
-            for low, key, place, r, times in (
-                (0, h, h, r, times),
-                (
-                    buckets,
-                    grams.view(np.uint64),
-                    mix((grams // SYMBOLS).astype(np.uint64)),
-                    np.concatenate(code_rows),
-                    np.concatenate(code_times),
-                ),
-            ):
-                order, bounds = split_by(bucket_of(place, buckets), buckets)
-                for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    if j > i:
-                        k = order[i:j]
-                        own, count = r[k].astype(np.uint32), times[k].astype(np.uint32)
-                        packed = (trained[own].tobytes(), key[k].tobytes(), own.tobytes(), count.tobytes())
-                        out.append((low + b, batch.uid, *packed, b"", b""))
+        for pack in each_pack(stream):
+            batch, tails = pack.batch(lower=True), _pack_tails(pack)
+            n, row = len(batch.ids), batch.row_of_word()
+            found = pack.found("words")
+            order = np.argsort(known := found.field("hash").to_numpy())
+            known, times = known[order], found.field("n").to_numpy()[order]
+            words = batch.words.view(np.int64)
+            hit = is_in(words, known)
+            count = np.zeros(len(words))
+            count[hit] = times[np.searchsorted(known, words[hit])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA
+                [
+                    pack.ids(),
+                    pa.array(np.diff(batch.bounds) + 1, pa.int64()),
+                    pa.array((np.bincount(row, hit, n) + (ends > 0)).astype(np.int64)),
+                    pa.array(np.bincount(row, np.log10(count + ALPHA), n) + np.log10(ends + ALPHA)),
+                    pa.array([trie.value.log10(t, tails) for t in batch.texts], pa.float64()),
+                ],
+                names=["doc_id", "n_tokens", "n_known", "raw", "score"],
             )
 
     return run
 
 
-_SCHEMA = pa.schema(
-    [("bucket", pa.int32()), ("uid", pa.int64())]
-    + [(c, pa.binary()) for c in ("trained", "hashes", "rows", "times", "ids", "sums")]
-)
-
-
-def _ids(ids: list, kind: pa.DataType) -> bytes:
-    sink = pa.BufferOutputStream()
-    table = pa.table({"id": pa.array(ids, kind)})
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _look_up(lower, buckets: int):
-    """Counts of a bucket's words or symbols in training rows, and what they give
-    summed per document: two sums for words, one for symbols."""
-
-    def run(group: pa.Table) -> pa.Table:
-        uid, bucket = group.column("uid").to_numpy(), group.column("bucket")[0].as_py()
-        if bucket < 0:
-            return pa.table({c: group.column(c) for c in ("uid", "rows", "ids", "sums")})
-        keys, at = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True)
-        times = unpack(group.column("times"), np.uint32).astype(np.int64)
-        trained = unpack(group.column("trained"), bool)
-        count = np.bincount(at, times * trained, len(keys))
-        if bucket < buckets:
-            gives = [times * np.log10(count[at] + ALPHA), times * (count[at] > 0)]
-        else:
-            gives = [times * _tail(keys.view(np.int64), count, *lower.value)[at]]
-        rows, out, begin = unpack(group.column("rows"), np.uint32), [], 0
-        for u, blob in zip(uid.tolist(), group.column("rows").to_pylist(), strict=True):
-            n = len(blob) // 4
-            own, inverse = np.unique(rows[begin : begin + n], return_inverse=True)
-            part = slice(begin, begin + n)
-            sums = np.concatenate([np.bincount(inverse, x[part], len(own)) for x in gives])
-            out.append((u, own.tobytes(), sums.tobytes()))
-            begin += n
-        return pa.table(
-            {
-                "uid": pa.array([x[0] for x in out], pa.int64()),
-                "rows": pa.array([x[1] for x in out], pa.binary()),
-                "ids": pa.array([b""] * len(out), pa.binary()),
-                "sums": pa.array([x[2] for x in out], pa.binary()),
-            }
-        )
-
-    return run
-
-
-def _finish(group: pa.Table) -> pa.Table:
-    """One batch's sums, in the order of the buckets' first rows."""
-    parts = list(zip(*(group.column(c).to_pylist() for c in ("rows", "ids", "sums")), strict=True))
-    head = next(x for x in parts if x[1])
-    ids = pa.ipc.open_stream(head[1]).read_all().column("id").combine_chunks()
-    n = len(ids)
-    base, hits, tokens, score = np.frombuffer(head[2]).reshape(4, n).copy()
-    # Sorted, so that sums of doubles do not depend on arrival.
-    for rows, _, sums in sorted(x for x in parts if not x[1]):
-        own = np.frombuffer(rows, np.uint32)
-        given = np.frombuffer(sums).reshape(-1, len(own))
-        if len(given) == 1:
-            score[own] += given[0]
-        else:
-            base[own] += given[0]
-            hits[own] += given[1]
-    return pa.table(
-        {
-            "doc_id": ids,
-            "n_tokens": pa.array(tokens.astype(np.int64)),
-            "n_known": pa.array(hits.astype(np.int64)),
-            "raw": pa.array(base),
-            "score": pa.array(score),
-        }
-    )
-
-
-def score_documents(docs: DataFrame, buckets: int | None = None, long_contexts: int = LONG_CONTEXTS) -> DataFrame:
+def score_documents(docs: DataFrame, long_contexts: int = LONG_CONTEXTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose crc32 of the id modulo FOLDS is not 0 train both models; every row
     is scored. A null or empty text has the end token only. Null and repeated
     ids and repeated rows each give a row. An empty table gives an empty result.
-    Columns besides doc_id and text are ignored. ``buckets`` of words, and as many
-    of contexts, are worked on one by one; they default to four for each shuffle
-    partition, so their size stays even as partitions follow the input.
-    ``long_contexts`` bounds what every task holds, not what the scores rest on.
+    Columns besides doc_id and text are ignored. ``long_contexts`` bounds what every
+    task holds, not what the scores rest on: the counts of all words and contexts
+    are tables, and packs ask for what they have.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(F.col("doc_id")) == 0).alias("held_out"))
-    seen = rows.where("not held_out")
-    trie = train(seen.select("text"), long_contexts)
-    words = count_words(seen.select("doc_id", "text"), buckets)
-    send = spark.sparkContext.broadcast
+    send = docs.sparkSession.sparkContext.broadcast
     kind = docs.schema["doc_id"].dataType
-    parts = (
-        rows.mapInArrow(_emit(send(replace(trie, short=None)), send(words), buckets, to_arrow_type(kind)), _PAIRS)
-        .groupBy("bucket")
-        .applyInArrow(_look_up(send((trie.pairs, trie.short)), buckets), "uid long, rows binary, ids binary, sums binary")
-        .groupBy("uid")
-        .applyInArrow(_finish, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
+    packs = pack_texts(docs.select("doc_id", "text", fold(F.col("doc_id")) != 0), "ppm-packs")
+    counts = count_grams(packs)
+    trie = train(counts, long_contexts)
+    shared = send(trie)
+    asked = materialize(packs.mapInArrow(_ask_words, "uid long, hash long, n long"), "ppm-asked")
+    words = materialize(asked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0"), "ppm-words")
+    tokens, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
+    ends = packs.agg(F.sum("n_flagged")).first()[0] or 0
+    tokens, distinct = tokens + ends, distinct + (ends > 0)
+    given = materialize(answers(asked.drop("n").join(words, "hash"), "words", "hash", "n"), "ppm-given")
+    release(asked)
+    rare = materialize(
+        counts.select(F.floor(F.col("code") / SYMBOLS).cast("int").alias("context"), "code", "n")
+        .repartition("context")
+        .sortWithinPartitions("code")
+        .select("code", "n")
+        .mapInArrow(_tails(send((trie.pairs, trie.short))), _TAIL),
+        "ppm-tails",
+    )
+    tails = answers(packs.mapInArrow(_ask_contexts(shared), "uid long, context int").join(rare, "context"), "tails", "context", "symbols", "logs", "unseen")
+    scored = (
+        packs.join(given, "uid", "left")
+        .join(tails, "uid", "left")
+        .mapInArrow(_score(shared, ends), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
     )
-    bottom = words.tokens + ALPHA * (words.distinct + 1)
-    return parts.select(
+    bottom = tokens + ALPHA * (distinct + 1)
+    return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(words.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("raw") - F.col("n_tokens") * F.lit(float(np.log10(bottom)))).alias("base_score"),
         "score",
     )

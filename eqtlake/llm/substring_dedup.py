@@ -6,10 +6,11 @@ around each shared anchor the match is extended both ways to all runs that the
 anchor stands for; runs that also start in an earlier document are removed, and
 neighbouring ones merge into maximal repeats.
 
-The joins carry packed arrays: a task's documents form batches, a batch sends
-each distinct hash once to the hash's bucket and gets back one bit for it. So a
-text that a third of all documents share costs one entry for each batch, and no
-pairs are made.
+Documents are stored as packs first, and anchors, runs and the result are all read
+from them. A pack sends each distinct hash once, so a text that a third of all
+documents share costs one row a pack and no pairs are made; hashes meet in
+aggregates with partial sums, and those found come back by a join with one row for
+each hash, whose skew adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -18,17 +19,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .fingerprint import Batch, batches, bucket_of, hash_rows, ngram_hashes, slices, split_by, unpack, winnow
+from .common import materialize, release
+from .fingerprint import Batch, ngram_hashes, winnow
+from .packs import answers, each_pack, entries, is_in, pack_texts
 
 LENGTH = 13
 ANCHOR = 5
 _LAST = np.iinfo(np.int64).max
-_CODEC = "zstd"
 
 
 def _order_key(ids: list) -> np.ndarray:
@@ -36,8 +36,14 @@ def _order_key(ids: list) -> np.ndarray:
     return np.array([_LAST if i is None else i for i in ids], np.int64)
 
 
+def _least(of: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, _LAST)
+    np.minimum.at(least, of, doc)
+    return least
+
+
 class Windows:
-    """The runs of a batch, their hashes and their anchors."""
+    """The runs of a pack: first word, hash, document, and anchor."""
 
     def __init__(self, batch: Batch, length: int, anchor: int):
         grams = ngram_hashes(batch.words, anchor)
@@ -45,145 +51,52 @@ class Windows:
         row = batch.row_of_word()
         inside = row[: len(best)] == row[length - 1 :] if len(best) else np.empty(0, bool)
         self.start = np.flatnonzero(inside)
-        self.hash = ngram_hashes(batch.words, length)[self.start]
+        self.hash = ngram_hashes(batch.words, length)[self.start].view(np.int64)
         self.doc = _order_key(batch.ids)[row[self.start]]
-        #: Distinct anchors of the batch, and each run's one.
-        self.anchors, self.anchor_of = np.unique(grams[best[self.start]], return_inverse=True)
-        low = np.full(len(self.anchors), _LAST)
-        high = np.full(len(self.anchors), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.anchor_of, self.doc)
-        np.maximum.at(high, self.anchor_of, self.doc)
-        self.several = low < high
-
-    def within(self, shared: np.ndarray) -> None:
-        """Keep the runs of shared anchors and find their least ids here."""
-        mine = shared[self.anchor_of]
-        self.start, self.doc = self.start[mine], self.doc[mine]
-        self.hashes, self.hash_of = np.unique(self.hash[mine], return_inverse=True)
-        self.least = np.full(len(self.hashes), _LAST)
-        np.minimum.at(self.least, self.hash_of, self.doc)
-
-    def removed(self, earlier: np.ndarray) -> np.ndarray:
-        """Starts of runs that start in an earlier document; ``earlier`` marks
-        hashes whose least id of all is below the batch's."""
-        return self.start[earlier[self.hash_of] | (self.doc > self.least[self.hash_of])]
-
-
-_ENTRIES = "bucket int, uid long, hashes binary, more binary"
-_MASKS = "uid long, bucket int, mask binary"
-_PACK = "uid long, ids binary, sizes binary, blob binary"
-
-
-def _rows_to_batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def _entries(uid: int, hashes: np.ndarray, more: np.ndarray, buckets: int) -> pa.RecordBatch:
-    order, bounds = split_by(bucket_of(hashes, buckets), buckets)
-    rows = [
-        (b, uid, hashes[order[i:j]].tobytes(), more[order[i:j]].tobytes())
-        for b, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
-        if j > i
-    ]
-    return _rows_to_batch(rows, ["bucket", "uid", "hashes", "more"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
-
-
-def _from_masks(masks: list[dict] | None, hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """The bits of all buckets, in the order of ``hashes``."""
-    out = np.zeros(len(hashes), bool)
-    order, bounds = split_by(bucket_of(hashes, buckets), buckets)
-    for m in masks or []:
-        i, j = bounds[m["bucket"]], bounds[m["bucket"] + 1]
-        out[order[i:j]] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=j - i).astype(bool)
-    return out
-
-
-def _anchors(length: int, anchor: int, buckets: int):
+        self.anchor = grams[best[self.start]].view(np.int64)
+
+
+def _anchors(length: int, anchor: int):
+    """(uid, hash, several): a pack's distinct anchors, and whether more than one
+    of its documents has the anchor."""
+
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, TaskContext.get().partitionId()):
-            w = Windows(batch, length, anchor)
-            yield _entries(batch.uid, w.anchors, w.several, buckets)
+        for pack in each_pack(stream):
+            w = Windows(pack.batch(), length, anchor)
+            found, of = np.unique(w.anchor, return_inverse=True)
+            several = np.zeros(len(found), bool)
+            several[of[w.doc > _least(of, w.doc, len(found))[of]]] = True
+            yield entries(pack.uid, hash=found, several=several)
 
     return run
 
 
-def _answer(group: pa.Table, bits: np.ndarray) -> pa.Table:
-    """A mask for each row of the bucket."""
-    masks, begin = [], 0
-    for blob in group.column("hashes").to_pylist():
-        n = len(blob) // 8
-        masks.append(np.packbits(bits[begin : begin + n]).tobytes())
-        begin += n
-    return pa.table({"uid": group.column("uid"), "bucket": group.column("bucket"), "mask": pa.array(masks, pa.binary())})
-
-
-def _shared(group: pa.Table) -> pa.Table:
-    """Which anchors are in two documents or more."""
-    _, at, n = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True, return_counts=True)
-    several = np.bincount(at, unpack(group.column("more"), bool), len(n)) > 0
-    return _answer(group, ((n > 1) | several)[at])
-
-
-def _earlier(group: pa.Table) -> pa.Table:
-    """Which runs have an id below the batch's least one."""
-    hashes, at = np.unique(unpack(group.column("hashes"), np.uint64), return_inverse=True)
-    own = unpack(group.column("more"), np.int64)
-    least = np.full(len(hashes), _LAST)
-    np.minimum.at(least, at, own)
-    return _answer(group, least[at] < own)
-
-
-def _pack(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches as single rows with compressed texts."""
-    for batch in batches(stream, TaskContext.get().partitionId(), words=False):
-        sink = pa.BufferOutputStream()
-        table = pa.table({"id": pa.array(batch.ids, pa.int64())})
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        blob = pa.Codec(_CODEC).compress(b"".join(batch.texts), asbytes=True)
-        sizes = np.array([len(t) for t in batch.texts], np.int64)
-        yield _rows_to_batch(
-            [(batch.uid, sink.getvalue().to_pybytes(), sizes.tobytes(), blob)],
-            ["uid", "ids", "sizes", "blob"],
-            [pa.int64(), pa.binary(), pa.binary(), pa.binary()],
-        )
-
-
-def _unpack(row: dict) -> Batch:
-    ids = pa.ipc.open_stream(row["ids"]).read_all().column("id").to_pylist()
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    ends = np.cumsum(sizes)
-    data = pa.Codec(_CODEC).decompress(row["blob"], int(sizes.sum()), asbytes=True) if sizes.sum() else b""
-    texts = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    return Batch(row["uid"], ids, texts, [None] * len(ids), *hash_rows(texts))
-
-
-def _runs(length: int, anchor: int, buckets: int):
+def _runs(length: int, anchor: int):
+    """(uid, hash, least): a pack's runs around shared anchors with their least ids."""
+
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(stream, 1):
-            for row in part.to_pylist():
-                batch = _unpack(row)
-                w = Windows(batch, length, anchor)
-                w.within(_from_masks(row["shared"], w.anchors, buckets))
-                yield _entries(batch.uid, w.hashes, w.least, buckets)
+        for pack in each_pack(stream):
+            w = Windows(pack.batch(), length, anchor)
+            shared = is_in(w.anchor, np.sort(pack.found("shared").field("hash").to_numpy()))
+            found, of = np.unique(w.hash[shared], return_inverse=True)
+            yield entries(pack.uid, hash=found, least=_least(of, w.doc[shared], len(found)))
 
     return run
 
 
-def _keep(length: int, anchor: int, buckets: int):
+def _keep(length: int, anchor: int):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(stream, 1):
-            for row in part.to_pylist():
-                batch = _unpack(row)
-                w = Windows(batch, length, anchor)
-                w.within(_from_masks(row["shared"], w.anchors, buckets))
-                starts = w.removed(_from_masks(row["earlier"], w.hashes, buckets))
-                edge = np.zeros(len(batch.words) + 1, np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + length, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                yield _result(batch, gone)
+        for pack in each_pack(stream):
+            batch = pack.batch()
+            w = Windows(batch, length, anchor)
+            found, of = np.unique(w.hash, return_inverse=True)
+            goes = w.doc > _least(of, w.doc, len(found))[of]
+            goes |= is_in(w.hash, np.sort(pack.found("earlier").field("hash").to_numpy()))
+            starts = w.start[goes]
+            edge = np.zeros(len(batch.words) + 1, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + length, -1)
+            yield _result(batch, np.cumsum(edge[:-1]) > 0)
 
     return run
 
@@ -213,11 +126,7 @@ def _result(batch: Batch, gone: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _grouped(masks: DataFrame, name: str) -> DataFrame:
-    return masks.groupBy("uid").agg(F.collect_list(F.struct("bucket", "mask")).alias(name))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, repeats), a row per input row.
 
     A word goes if a run of ``length`` words that covers it also starts in a
@@ -227,25 +136,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Null ids are after all others and equal to each other; rows that repeat an id
     do not remove each other's words. An empty table gives an empty result.
     Columns besides doc_id and text are ignored. Words are compared unchanged, by
-    64-bit hashes of their runs. ``buckets`` default to four for each shuffle
-    partition.
+    64-bit hashes of their runs.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packs = pack_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True)), "repeat-packs")
+    seeds = materialize(packs.mapInArrow(_anchors(length, anchor), "uid long, hash long, several boolean"), "repeat-anchors")
+    # Stored, so that the joins' sides are plain shuffles, which can be split.
     shared = materialize(
-        rows.mapInArrow(_anchors(length, anchor, buckets), _ENTRIES).groupBy("bucket").applyInArrow(_shared, _MASKS),
-        "repeat-anchors",
+        seeds.groupBy("hash")
+        .agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.max("several").alias("several"))
+        .where("low < high or several")
+        .select("hash"),
+        "repeat-shared",
     )
-    packs = rows.mapInArrow(_pack, _PACK)
-    with_shared = packs.join(_grouped(shared, "shared"), "uid", "left")
-    earlier = materialize(
-        with_shared.mapInArrow(_runs(length, anchor, buckets), _ENTRIES)
-        .groupBy("bucket")
-        .applyInArrow(_earlier, _MASKS),
-        "repeat-runs",
+    marked = packs.join(answers(seeds.join(shared, "hash"), "shared", "hash"), "uid", "left")
+    runs = materialize(marked.mapInArrow(_runs(length, anchor), "uid long, hash long, least long"), "repeat-runs")
+    release(seeds)
+    release(shared)
+    first = materialize(
+        runs.groupBy("hash").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").drop("last"),
+        "repeat-first",
     )
-    return with_shared.join(_grouped(earlier, "earlier"), "uid", "left").mapInArrow(
-        _keep(length, anchor, buckets),
+    earlier = runs.join(first, "hash").where("first < least")
+    return packs.join(answers(earlier, "earlier", "hash"), "uid", "left").mapInArrow(
+        _keep(length, anchor),
         "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<first:long,n:long>>",
     )

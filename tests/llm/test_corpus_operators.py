@@ -4,13 +4,14 @@ import gzip
 import json
 import random
 import zlib
+from functools import partial
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eqtlake.llm import classifier, fingerprint, mixing, near_dup, ppm, substring_dedup, warc
+from eqtlake.llm import classifier, common, fingerprint, mixing, near_dup, packs, ppm, substring_dedup, warc
 from eqtlake.plans.workspace import scratch_path
 
 from . import brute
@@ -58,6 +59,41 @@ def test_repeats_at_random(spark):
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_results_when_scans_are_cut_anew(spark, monkeypatch):
+    """Each stored table is followed by another split size and partition count, and
+    the input comes from a shuffle: packs keep their numbers."""
+    texts = family(1, 40, 60, 2) + [" ".join(f"u{i}_{j}" for j in range(50)) for i in range(100) for _ in range(2)]
+    random.Random(7).shuffle(texts)
+    folder = scratch_path(spark, "split-input")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12).write.parquet(folder)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in keys}
+    turns = iter(range(10**6))
+
+    def disturbed(df, name):
+        out = common.materialize(df, name)
+        n = next(turns)
+        spark.conf.set(keys[0], str((3000, 40_000, 10**8)[n % 3]))
+        spark.conf.set(keys[1], str((3, 7, 2)[n % 3]))
+        return out
+
+    for module in (substring_dedup, ppm, packs):
+        monkeypatch.setattr(module, "materialize", disturbed)
+    monkeypatch.setattr(packs, "batches", partial(fingerprint.batches, size=2000))
+    try:
+        for df in (spark.read.parquet(folder), spark.read.parquet(folder).repartition(5)):
+            got = sorted((r.doc_id, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(df).collect())
+            assert got == [(i, *x[1:]) for i, x in enumerate(brute.repeats(list(enumerate(texts))))]
+            train = [t for i, t in enumerate(texts) if crc(i) % 10]
+            want = brute.unigram_all(train, texts)
+            scored = sorted(ppm.score_documents(df).collect(), key=lambda r: r.doc_id)
+            assert [(r.n_tokens, r.n_known, r.train_tokens) for r in scored] == [x[:3] for x in want]
+            assert [r.base_score for r in scored] == pytest.approx([x[3] for x in want], rel=1e-9)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_repeats_are_maximal(docs):
     for r in substring_dedup.remove_repeats(docs).collect():
         spans = [(x.first, x.first + x.n) for x in r.repeats]
@@ -194,8 +230,8 @@ def test_lm_scores_beyond_the_head(spark):
     assert len(contexts) > ppm.LONG_CONTEXTS + 5000
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = {i: brute.ppm(train, t.encode()) for i, t in rows[30:]}
-    for how in ({}, {"buckets": 3, "long_contexts": 7}):
-        got = {r.doc_id: r.score for r in ppm.score_documents(docs, **how).where("doc_id >= 30").collect()}
+    for held in (ppm.LONG_CONTEXTS, 7):
+        got = {r.doc_id: r.score for r in ppm.score_documents(docs, held).where("doc_id >= 30").collect()}
         assert got == pytest.approx(want, rel=1e-5)
 
 
