@@ -92,17 +92,25 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (
 f AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words,
   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (SELECT (count(*) - count(DISTINCT l))::BIGINT FROM (SELECT unnest(string_split(t, chr(10))) AS l)
-    WHERE regexp_matches(l, '[^\x20\x09-\x0D]')) AS n_dup_lines,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS k FROM b GROUP BY source),
-m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-q AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1 END AS s FROM m),
-x AS (SELECT source, (k + m * s) / (n + s) <= 0.8 AS ok FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND ok AS kept
+b AS (SELECT *, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words < 50 AS r1,
+  100 * n_repeat_words > 50 * n_words AS r2, 100 * n_symbols > 10 * n_words AS r3,
+  100 * (len(l) - len(list_distinct(l))) > 30 * len(l) AS r4,
+  word_chars < 3 * n_words OR word_chars > 10 * n_words AS r5 FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, unnest([0, 1, 2, 3, 4, 5]) AS rule,
+  unnest([count(*) FILTER (WHERE r1 OR r2 OR r3 OR r4 OR r5), count(*) FILTER (WHERE r1), count(*) FILTER (WHERE r2),
+    count(*) FILTER (WHERE r3), count(*) FILTER (WHERE r4), count(*) FILTER (WHERE r5)])::DOUBLE AS k FROM b GROUP BY source),
+m AS (SELECT rule, sum(k) / sum(n) AS m, sum(k * k / n) - sum(k) * sum(k) / sum(n) AS spread, count(*) - 1 AS free,
+  (sum(n) - count(*)) - (sum(n * n) - sum(n)) / sum(n) AS depth FROM h GROUP BY rule),
+q AS (SELECT rule, m, 1 / least(0.5e0, greatest(1e-6, CASE WHEN m > 0 AND m < 1 AND depth > 0
+  THEN (spread / (m * (1 - m)) - free) / depth ELSE 0 END)) - 1 AS s FROM m),
+x AS (SELECT source, max(rate) FILTER (WHERE rule = 0) <= 0.5 AS ok, list(rule) FILTER (WHERE rule > 0 AND rate >= 0.05e0) AS habits
+  FROM (SELECT source, rule, (k + m * s) / (n + s) AS rate FROM h JOIN q USING (rule)) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
+  NOT (r1 OR r2) AND ok AND NOT (r3 AND list_contains(coalesce(habits, []), 3))
+    AND NOT (r4 AND list_contains(coalesce(habits, []), 4)) AND NOT (r5 AND list_contains(coalesce(habits, []), 5)) AS kept
 FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source"""
 
 SQL["op9_mixing"] = r"""WITH d AS (SELECT doc_id, source,

@@ -1,7 +1,10 @@
 """Host-level quality rules.
 
-Rules are judged per document, failures are counted per host, the failure rates
-are shrunk with an empirical beta prior, and the host verdicts are joined back.
+Rules are judged per document and failures are counted per host, for each rule and
+for any of them. Rates are shrunk with an empirical beta prior of the rule, and the
+verdicts are joined back: a host where most documents fail some rule goes as a
+whole; where a host publishes a kind of junk habitually, its documents of that kind
+go, while elsewhere a single failure is let pass.
 """
 
 from __future__ import annotations
@@ -13,8 +16,18 @@ from .common import let, materialize, small_side, split_words, total
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host goes if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
+# Limits of the further rules: symbols for each hundred words, repeated lines in a
+# hundred, and the mean length of words.
+MAX_SYMBOL_PERCENT = 10
+MAX_DUP_LINE_PERCENT = 30
+WORD_LENGTH = (3, 10)
+#: A host goes if the shrunk rate of documents that fail some rule is above this.
+MAX_HOST_RATE = 0.5
+#: A host where at least so many documents fail a rule does so by habit.
+HABIT_RATE = 0.05
+#: Bounds of the correlation of failures within a host; the prior counts as many
+#: documents as one less than its inverse.
+CORRELATION = (1e-6, 0.5)
 
 
 def _covered(hashes: Column, width: int) -> Column:
@@ -63,7 +76,7 @@ def repeated_words(words: Column, width: int = 3) -> Column:
 
 
 def document_features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    """(doc_id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.regexp_replace(text, r"[#*$%&|<>]+", "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -76,57 +89,108 @@ def document_features(docs: DataFrame, host: str = "source") -> DataFrame:
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
+    lined = let(
+        lines,
+        lambda x: F.struct(
+            F.size(x).cast("long").alias("n_lines"),
+            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        ),
+    )
     return docs.select(
         "doc_id",
         F.col(host).alias("host"),
         counted.alias("c"),
         (F.length(text) - F.length(plain)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-    ).select("doc_id", "host", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words")
+        lined.alias("l"),
+    ).select("doc_id", "host", "c.n_words", "c.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "c.n_repeat_words")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
+def rules() -> dict[str, Column]:
+    """Whether a document fails each rule; the first two condemn it by themselves."""
+    words = F.col("n_words")
+    return {
+        "short": words < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words,
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * words,
+        "lines": 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"),
+        "word_length": (F.col("word_chars") < WORD_LENGTH[0] * words) | (F.col("word_chars") > WORD_LENGTH[1] * words),
+    }
+
+
+BASE = ("short", "repeats")
+ANY = "any"
 
 
-def host_verdicts(features: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n, failed, rate, host_ok) from features that have ``base_failed``.
+def failures() -> Column:
+    """Names of the rules that a document fails, as array."""
+    return F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in rules().items()]))
 
-    The prior's mean and strength come from the hosts' rates by the method of
-    moments: strength m(1-m)/v - 1, 1 where the rates do not vary enough.
+
+def host_verdicts(features: DataFrame, max_rate: float = MAX_HOST_RATE, habit: float = HABIT_RATE) -> DataFrame:
+    """(host, n, rates, host_ok, habits) from features that have ``failed``.
+
+    ``rates`` maps each rule, and "any", to the host's shrunk rate. A rule's prior
+    has the mean m of all documents, and its strength from the hosts' rates by the
+    method of moments: the sum of n (rate - m)^2 over hosts, less what binomial noise
+    gives, is what failures within a host are correlated by. Hosts of one document
+    say nothing of that and are shrunk to the mean; so are all where hosts do not
+    differ by more than noise.
     """
+    names = [*rules(), ANY]
     hosts = materialize(
         features.groupBy("host").agg(
-            F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")
+            F.count("*").alias("n"),
+            *[F.count_if(F.array_contains("failed", name)).alias(name) for name in names[:-1]],
+            F.count_if(F.size("failed") > 0).alias(ANY),
         ),
         "quality-hosts",
     )
-    rate = F.col("failed") / F.col("n")
-    row = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    m, v = row["m"] or 0.0, row["v"] or 0.0
-    strength = m * (1 - m) / v - 1 if 0 < v < m * (1 - m) else 1.0
-    shrunk = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", "n", "failed", shrunk.alias("rate"), (shrunk <= max_rate).alias("host_ok"))
-
-
-def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Features, ``base_failed``, ``host_rate`` and ``kept`` for every row of ``docs``.
-
-    ``kept`` is false if the document fails itself, else its host's verdict. Null
-    texts have no words and fail; null hosts form one host. Repeated rows count
-    each. An empty table gives an empty result. Columns besides doc_id, text and
-    the host are ignored.
+    n = F.col("n").cast("double")
+    row = hosts.agg(
+        F.count("*").alias("hosts"),
+        F.sum(n).alias("n_docs"),
+        F.sum(n * n).alias("squares"),
+        *[F.sum(F.col(c).cast("double")).alias(f"{c}_failed") for c in names],
+        *[F.sum(F.col(c) * F.col(c) / n).alias(f"{c}_spread") for c in names],
+    ).first()
+
+    def shrunk(name: str) -> Column:
+        docs = row["n_docs"] or 1.0
+        m = (row[f"{name}_failed"] or 0.0) / docs
+        depth = (docs - row["hosts"]) - ((row["squares"] or 0.0) - docs) / docs
+        found = 0.0
+        if 0 < m < 1 and depth > 0:
+            spread = row[f"{name}_spread"] - row[f"{name}_failed"] * row[f"{name}_failed"] / docs
+            found = (spread / (m * (1 - m)) - (row["hosts"] - 1)) / depth
+        strength = 1 / min(max(found, CORRELATION[0]), CORRELATION[1]) - 1
+        return (F.col(name) + F.lit(m * strength)) / (n + F.lit(strength))
+
+    rates = hosts.select("host", "n", F.create_map(*[x for c in names for x in (F.lit(c), shrunk(c))]).alias("rates"))
+    habits = F.array_compact(F.array(*[F.when(F.col("rates")[c] >= habit, F.lit(c)) for c in names[:-1]]))
+    return rates.select("host", "n", "rates", (F.col("rates")[ANY] <= max_rate).alias("host_ok"), habits.alias("habits"))
+
+
+def quality_rules(
+    docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE, habit: float = HABIT_RATE
+) -> DataFrame:
+    """Features, ``failed``, ``base_failed``, ``host_rate`` and ``kept`` for every row.
+
+    ``failed`` names the rules that the document fails. ``kept`` is false if it
+    fails a rule of BASE; else it is the host's verdict: false if the host goes as a
+    whole, or if the document fails a rule that its host fails by habit. Null texts
+    have no words and fail; null hosts form one host. Repeated rows count each, and
+    rows that share an id or have none are judged one by one. An empty table gives
+    an empty result. Columns besides doc_id, text and the host are ignored.
     """
+    judged = document_features(docs, host).withColumn("failed", failures())
     features = materialize(
-        document_features(docs, host).withColumn("base_failed", base_failed()), "quality-features"
+        judged.withColumn("base_failed", F.arrays_overlap("failed", F.array(*map(F.lit, BASE)))), "quality-features"
     )
-    verdicts = host_verdicts(features, max_rate).select(
-        F.col("host").alias("v_host"), F.col("rate").alias("host_rate"), "host_ok"
+    verdicts = host_verdicts(features, max_rate, habit).select(
+        F.col("host").alias("v_host"), F.col("rates")[ANY].alias("host_rate"), "host_ok", "habits"
     )
     return (
         features.join(small_side(verdicts), F.col("host").eqNullSafe(F.col("v_host")), "left")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
-        .drop("v_host", "host_ok")
+        .withColumn("kept", ~F.col("base_failed") & F.col("host_ok") & ~F.arrays_overlap("failed", "habits"))
+        .drop("v_host", "host_ok", "habits", "n_lines")
     )

@@ -95,19 +95,56 @@ def test_quality_features(docs):
         assert got[3 * i] == (*want, want[0] < 50 or 100 * want[4] > 50 * want[0]), text
 
 
+def words_of(n: int, tail: str = "") -> str:
+    return " ".join(f"word{i}" for i in range(n)) + tail
+
+
+def hosted(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+
+
 def test_quality_hosts(spark, no_docs):
-    good = " ".join(f"word{i}" for i in range(80))
-    rows = [(i, good if i % 10 == 0 else "bad", "bad-host") for i in range(40)]
-    rows += [(100 + i, good if i else "bad", f"host{i % 8}") for i in range(80)]
-    rows += [(500, good, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = by_id(quality_rules.quality_rules(docs), "base_failed", "kept", "host_rate")
+    good = words_of(80)
+    rows = [(good if i % 10 == 0 else "bad", "bad-host") for i in range(40)]
+    rows += [(good if i else "bad", f"host{i % 8}") for i in range(80)]
+    rows += [(good, None)]
+    got = by_id(quality_rules.quality_rules(hosted(spark, rows)), "base_failed", "kept", "host_rate")
     assert got[0][:2] == (False, False) and got[0][2] > quality_rules.MAX_HOST_RATE
-    assert got[101][:2] == (False, True) and got[100][:2] == (True, False)
-    assert got[500][:2] == (False, True)
+    assert got[41][:2] == (False, True) and got[40][:2] == (True, False)
+    assert got[120][:2] == (False, True)
     assert quality_rules.quality_rules(no_docs).collect() == []
 
 
+def test_hosts_of_one_document_are_not_condemned(spark):
+    """Their rates are noise alone, so all are shrunk to the mean."""
+    rows = [("bad" if i % 10 < 3 else words_of(60), f"h{i}") for i in range(300)]
+    got = by_id(quality_rules.quality_rules(hosted(spark, rows)), "base_failed", "kept", "host_rate")
+    assert all(r[1] != r[0] and r[2] == pytest.approx(0.3, abs=1e-3) for r in got.values())
+
+
+def test_rules_of_a_host_by_habit(spark):
+    """Symbol junk goes where it is a habit; one such page elsewhere stays."""
+    good, junk = words_of(60), words_of(60, " $$$ ### &&& ||| ***")
+    rows = [(junk if i % 4 == 0 else good, "forum") for i in range(200)]
+    rows += [(junk if i == 0 else good, "news") for i in range(200)]
+    got = by_id(quality_rules.quality_rules(hosted(spark, rows)), "failed", "base_failed", "kept")
+    assert got[0] == (["symbols"], False, False) and got[1] == ([], False, True)
+    assert got[200] == (["symbols"], False, True)
+
+
+def test_quality_of_odd_rows(spark, odd_docs):
+    """Null and repeated ids and repeated rows are each judged by their text."""
+    got = quality_rules.quality_rules(odd_docs).collect()
+    want = [brute.quality(r.text) for r in odd_docs.collect()]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(want)
+
+
+def test_verdicts_decide_rows_of_the_driver_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert quality_rules.quality_rules(docs).where("kept != (not base_failed)").count() > 0
+
+
 def test_contamination(docs, benchmark_items):
     got = by_id(decontaminate.decontaminate(docs, benchmark_items), "n_words", "n_hit", "items", "contaminated")
     for i, text in enumerate(TEXTS):
