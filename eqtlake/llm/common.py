@@ -8,13 +8,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eqtlake.plans.workspace import scratch_path
 
 #: Words of the whitespace tokeniser; the class is ASCII only.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows up to which a small side may be broadcast, after they were counted.
+#: Rows and bytes up to which a small side may be broadcast, after both were measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +43,28 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as is.
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + _width(x, kind.elementType))
+        return F.coalesce(inner, F.lit(0).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    return F.lit(8).cast("long")
 
-    ``df`` must be materialized (it is counted) and have narrow rows. Beyond the
-    bound Spark joins by sort and merge, where adaptive execution splits skew.
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and about ``size``
+    bytes, else as is.
+
+    ``df`` must be materialized, as it is measured. Beyond the bounds Spark joins by
+    sort and merge, where adaptive execution splits skew.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
+    n, whole = df.agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (whole or 0) <= size else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -2,9 +2,10 @@
 
 Documents and items are fingerprinted alike: of each run of w successive k-gram
 hashes the least is kept, so that any shared stretch of k + w - 1 words shares a
-fingerprint. Documents that share one are read again: around each shared k-gram
-the hit is extended to every window of the item's length, and windows are
-compared word for word.
+fingerprint. Documents that share one are read again: their k-grams meet the
+fingerprints once more, by hash, which places the hits; around each the hit is
+extended to every window of the item's length, and windows are compared word for
+word. An item below the window has one fingerprint, of all its words.
 """
 
 from __future__ import annotations
@@ -60,6 +61,19 @@ def fingerprints(words: Column, short: list[int], window: int, k: int) -> Column
     return let(words, lambda w: F.concat(*[p(w) for p in parts]))
 
 
+def item_prints(benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """(n, h): the winnowed k-grams of items under n = ``window``, and of items of
+    fewer words the hash of all of them under their number of words."""
+
+    def whole(w: Column) -> Column:
+        by_size = [F.when(F.size(w) == m, gram_hashes(w, m)) for m in range(1, window)]
+        return F.coalesce(*by_size, winnowed(w, k, window - k + 1))
+
+    words = benchmark.select(item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    prints = words.select(F.least(F.size("w"), F.lit(window)).alias("n"), F.explode(let(F.col("w"), whole)).alias("h"))
+    return prints.distinct()
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, n, win): the windows of the items as text; an item of fewer words
     is one window, one without words has none."""
@@ -73,33 +87,24 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _starts(words: Column, seeds: Column, short: list[int], window: int, k: int) -> Column:
-    """Starts of the windows around the positions of the shared fingerprints."""
-
-    def of(n: int, width: int, back: int) -> Column:
-        mine = F.transform(F.filter(seeds, lambda s: s["n"] == n), lambda s: s["h"])
-
-        def around(hashes: Column, mine: Column) -> Column:
-            at = F.filter(
-                F.transform(hashes, lambda h, i: F.when(F.array_contains(mine, h), i)), lambda i: i.isNotNull()
-            )
-            last = F.size(words) - n
-            spread = F.flatten(
-                F.transform(
-                    at,
-                    lambda p: F.when(
-                        (F.greatest(p - back, F.lit(0)) <= F.least(p, last)),
-                        F.sequence(F.greatest(p - back, F.lit(0)), F.least(p, last)),
-                    ).otherwise(F.array().cast("array<int>")),
-                )
-            )
-            return F.transform(F.array_distinct(spread), lambda s: F.struct(F.lit(n).alias("n"), s.cast("int").alias("s")))
+def _placed(words: DataFrame, prints: DataFrame, short: list[int], window: int, k: int) -> DataFrame:
+    """(doc_id, text_key, n, s): starts of the windows around grams whose hash is a
+    fingerprint, of rows (doc_id, text_key, w)."""
 
-        return let(
-            F.struct(gram_hashes(words, width).alias("h"), mine.alias("m")), lambda x: around(x["h"], x["m"])
-        )
+    def tagged(w: Column, n: int, width: int) -> Column:
+        return F.transform(gram_hashes(w, width), lambda h, p: F.struct(F.lit(n).alias("n"), h.alias("h"), p.alias("p")))
 
-    return F.concat(of(window, k, window - k), *[of(m, m, 0) for m in short])
+    sizes = [(window, k), *((m, m) for m in short)]
+    grams = words.select(
+        "doc_id",
+        "text_key",
+        F.size("w").alias("size"),
+        F.explode(let(F.col("w"), lambda w: F.concat(*[tagged(w, *x) for x in sizes]))).alias("g"),
+    ).select("doc_id", "text_key", "size", "g.n", "g.h", "g.p")
+    back = F.when(F.col("n") == window, F.lit(window - k)).otherwise(F.lit(0))
+    low, high = F.greatest(F.col("p") - back, F.lit(0)), F.least(F.col("p"), F.col("size") - F.col("n"))
+    around = grams.join(prints, ["n", "h"], "left_semi").select("doc_id", "text_key", "n", low.alias("low"), high.alias("high"))
+    return around.where("low <= high").select("doc_id", "text_key", "n", F.explode(F.sequence("low", "high")).alias("s"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -112,34 +117,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     items = materialize(item_windows(benchmark, window), "decon-windows")
     # At most window - 1 numbers: the lengths of items below the window.
     short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())
-    prints = materialize(
-        benchmark.select(F.explode(fingerprints(item_words(F.col("text")), short, window, k)).alias("f"))
-        .select("f.n", "f.h")
-        .distinct(),
-        "decon-prints",
-    )
+    prints = small_side(materialize(item_prints(benchmark, window, k), "decon-prints"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
-    found = (
-        rows.select("doc_id", "text_key", F.explode(fingerprints(item_words(F.col("text")), short, window, k)).alias("f"))
-        .select("doc_id", "text_key", "f.n", "f.h")
-        .join(small_side(prints), ["n", "h"])
-    )
-    seeds = (
-        found.groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("n", "h")).alias("seeds"))
-        .withColumnsRenamed({"doc_id": "s_id", "text_key": "s_key"})
-    )
+    printed = rows.select("doc_id", "text_key", F.explode(fingerprints(item_words(F.col("text")), short, window, k)).alias("f"))
+    found = materialize(
+        printed.select("doc_id", "text_key", "f.n", "f.h").join(prints, ["n", "h"], "left_semi").select("doc_id", "text_key").distinct(),
+        "decon-candidates",
+    ).withColumnsRenamed({"doc_id": "s_id", "text_key": "s_key"})
     # The same row twice would count the same windows twice; one is enough.
-    again = rows.join(seeds, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
-    words = again.select("doc_id", "text_key", item_words(F.col("text")).alias("w"), "seeds")
-    placed = words.select(
+    same = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key"))
+    again = rows.join(small_side(found), same).dropDuplicates(["doc_id", "text_key"])
+    words = materialize(again.select("doc_id", "text_key", item_words(F.col("text")).alias("w")), "decon-words")
+    starts = _placed(words, prints, short, window, k).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("n", "s")).alias("starts"))
+    starts = starts.withColumnsRenamed({"doc_id": "s_id", "text_key": "s_key"})
+    placed = words.join(starts, same).select(
         "doc_id",
         "text_key",
         F.explode(
             let(
-                F.struct("w", "seeds"),
+                F.struct("w", "starts"),
                 lambda x: F.transform(
-                    _starts(x["w"], x["seeds"], short, window, k),
+                    x["starts"],
                     lambda s: F.struct(
                         s["n"].alias("n"),
                         s["s"].alias("s"),
@@ -175,8 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     null ids their own. Empty tables give empty results or no hits. Further columns
     stay, but for those named as the ones added (or text_key, h_id, h_key), which go.
     """
-    found = hits(docs, benchmark, window, k).withColumnsRenamed({"doc_id": "h_id", "text_key": "h_key"})
-    return with_hits(docs, found)
+    found = materialize(hits(docs, benchmark, window, k), "decon-hits")
+    return with_hits(docs, small_side(found.withColumnsRenamed({"doc_id": "h_id", "text_key": "h_key"})))
 
 
 def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -54,6 +54,18 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0
     return F.when(text.rlike(pattern), found).otherwise(no_spans())
 
 
+def at_end(span: Column) -> Column:
+    """A span that is the capture at the end of its match."""
+    return F.struct(
+        (span["end"] - F.length(span["value"])).cast("long").alias("start"),
+        span["rank"].alias("rank"),
+        span["end"].alias("end"),
+        span["kind"].alias("kind"),
+        span["value"].alias("match"),
+        span["value"].alias("value"),
+    )
+
+
 def in_order(spans: Column) -> Column:
     """Spans by start, then by the order of the kinds."""
     return F.sort_array(spans)

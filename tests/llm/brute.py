@@ -46,7 +46,7 @@ def _digits(m: re.Match) -> str:
 SECRETS = [
     (
         "assign",
-        r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         lambda m: len(m[2]) >= 6,
     ),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),

@@ -1,9 +1,12 @@
 """Operators that judge one text at a time, against plain Python."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from eqtlake.llm import decontaminate, pii, quality_rules, secret_scan
+from eqtlake.llm.common import materialize, small_side
 from eqtlake.llm.spans import span_digests
 from eqtlake.llm.trigrams import trigram_query
 
@@ -27,11 +30,49 @@ def test_secrets(docs):
     assert any("github:" in x[4] for x in got.values())
 
 
-def test_secrets_of_odd_tables(odd_docs, no_docs):
-    assert secret_scan.scan_secrets(odd_docs).count() == odd_docs.count()
+def secret_digests(df):
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    found = secret_scan.scan_secrets(df).select("doc_id", *span_digests(F.col("secrets"), kinds))
+    return sorted((str(r.doc_id), r.base_sha256, r.spans) for r in found.collect())
+
+
+def test_secrets_of_odd_tables(spark, no_docs):
+    """Null and repeated ids, repeated rows and nulls, by value."""
+    texts = [None, "", "token: abcdefg", "secret=abcdef1", "AKIA" + "A" * 16, "f" * 30 + " token: abcdefg"]
+    rows = [(i, t) for i in (None, 4, 4, 5) for t in texts]
+    got = secret_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    spans = [brute.spans(t, brute.SECRETS) for _, t in rows]
+    assert got == sorted((str(i), brute.sha(s), s) for (i, _), s in zip(rows, spans, strict=True))
     assert secret_scan.scan_secrets(no_docs).collect() == []
 
 
+def test_rules_without_an_index(docs):
+    rules = [r for r in secret_scan.RULES if trigram_query(r.pattern) is None]
+    found = secret_scan.scan_secrets(docs, rules)
+    assert rules and {s.kind for r in found.collect() for s in r.secrets} == {"hex"}
+
+
+def test_tokens_in_runs(spark):
+    """What the linear expression finds is what the plain one means."""
+    head, body = "eyJ" + "a" * 8, "eyJ" + "b" * 9
+    texts = [
+        f"{head}.{body}.sig",
+        f"xx-{head}.{body}.sig_1 {head}.{body}.s",
+        f"eyJeyJ{head}.{body}.sig.{head}.{body}.more",
+        f"eyJab.{body}.sig",
+        f"{head}.eyJab.sig {head}.{body}.",
+        f"{head}.{head}.{body}.sig",
+        f"é{head}.{body}.é",
+        "eyJ" * 60_000,
+        "eyJ" * 60_000 + "." + body + ".z",
+    ]
+    found = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    for r in found.collect():
+        got = [(s.start, s.end, s.match) for s in r.secrets if s.kind == "jwt"]
+        assert got == [(m.start(), m.end(), m[0]) for m in re.finditer(rule.pattern, texts[r.doc_id])] if r.doc_id < 7 else len(got) == r.doc_id - 7
+
+
 def test_trigram_queries_never_exclude_a_match():
     for rule in secret_scan.RULES:
         query = trigram_query(rule.pattern)
@@ -162,6 +203,32 @@ def test_contamination_of_odd_tables(spark, odd_docs, no_docs, benchmark_items):
     assert all(r.n_hit == 0 for r in decontaminate.decontaminate(odd_docs, nothing).collect())
 
 
+def test_a_foreign_short_item_seeds_nothing(spark, docs, benchmark_items, monkeypatch):
+    """Short items have one fingerprint, so one that occurs nowhere brings no candidates."""
+    counts = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", counted)
+    seen = []
+    for more in ([], [(99, "zyzzyva"), (98, "zyzzyva w3 nowhere else")]):
+        extra = spark.createDataFrame([(*x, "") for x in more], benchmark_items.schema)
+        found = decontaminate.decontaminate(docs, benchmark_items.union(extra)).collect()
+        seen.append((counts["decon-candidates"], counts["decon-words"], sorted((r.doc_id, r.n_hit) for r in found)))
+    assert seen[0] == seen[1] and seen[0][0] < docs.count()
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+
+    few = spark.createDataFrame([("x" * 1000, [1, 2], [("a", 1)])], "a string, b array<int>, c array<struct<d:string,e:int>>")
+    assert hinted(small_side(few)) and not hinted(small_side(few, size=900)) and not hinted(small_side(few, rows=0))
+
+
 def test_cut(docs, benchmark_items):
     found = decontaminate.decontaminate(docs, benchmark_items)
     for r in found.select("text", "spans", decontaminate.cut(F.col("text"), F.col("spans")).alias("left")).collect():
