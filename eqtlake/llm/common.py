@@ -14,6 +14,8 @@ from eqtlake.plans.workspace import scratch_path
 
 #: Words of the whitespace tokeniser; the class is ASCII only.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Spark's switch for deleting the shuffles of a command when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes up to which a small side may be broadcast, after both were measured.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
@@ -27,11 +29,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it.
 
     The files outlive lost executors, and each later use reads columns instead
-    of recomputing the plan.
+    of recomputing the plan. Shuffles of the write are deleted as it ends.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(df: DataFrame) -> None:

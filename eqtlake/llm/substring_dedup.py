@@ -143,21 +143,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     # Stored, so that the joins' sides are plain shuffles, which can be split.
     shared = materialize(
         seeds.groupBy("hash")
-        .agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.max("several").alias("several"))
-        .where("low < high or several")
+        .agg(F.count("*").alias("n"), F.max("several").alias("several"))
+        .where("n > 1 or several")
         .select("hash"),
         "repeat-shared",
     )
-    marked = packs.join(answers(seeds.join(shared, "hash"), "shared", "hash"), "uid", "left")
-    runs = materialize(marked.mapInArrow(_runs(length, anchor), "uid long, hash long, least long"), "repeat-runs")
+    marks = materialize(answers(seeds.join(shared, "hash"), "shared", "hash"), "repeat-marks")
     release(seeds)
     release(shared)
+    marked = packs.join(marks, "uid", "left")
+    runs = materialize(marked.mapInArrow(_runs(length, anchor), "uid long, hash long, least long"), "repeat-runs")
+    release(marks)
     first = materialize(
         runs.groupBy("hash").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first < last").drop("last"),
         "repeat-first",
     )
-    earlier = runs.join(first, "hash").where("first < least")
-    return packs.join(answers(earlier, "earlier", "hash"), "uid", "left").mapInArrow(
+    later = runs.join(first, "hash").where("first < least")
+    earlier = materialize(answers(later, "earlier", "hash"), "repeat-earlier")
+    release(runs)
+    release(first)
+    return packs.join(earlier, "uid", "left").mapInArrow(
         _keep(length, anchor),
         "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<first:long,n:long>>",
     )
