@@ -59,7 +59,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

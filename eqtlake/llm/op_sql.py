@@ -129,7 +129,7 @@ k AS (SELECT doc_id, d.source, size, source_size, target,
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
   round(target)::BIGINT AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM k)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
+SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
 FROM e"""
 

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from eqtlake.plans.workspace import scratch_path
 
-from .common import materialize
+from .common import materialize, small_side
 
 #: Payloads below this size are never written as revisits.
 MIN_REVISIT = 1000
+#: An archive is closed once its records have so many bytes.
+ARCHIVE_BYTES = 1 << 30
 CHUNK = 1 << 20
 # WARC 1.1 names.
 VERSION = b"WARC/1.1"
@@ -92,28 +94,32 @@ def _publish(system: pafs.FileSystem, made: str, name: str) -> None:
         system.delete_file(made)
 
 
-def write_monolithic(folder: str):
-    """Task function: one gzip stream for all records of the partition."""
+def write_monolithic(folder: str, limit: int = ARCHIVE_BYTES):
+    """Task function: the records of the partition in archives of about ``limit``
+    bytes before compression, each one gzip stream."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         system, root = _fs(folder)
-        name = f"{root}/mono-{context.partitionId():06d}.warc.gz"
-        attempt = f"{name}.{context.taskAttemptId()}.tmp"
         system.create_dir(root, recursive=True)
-        gzip, n = zlib.compressobj(6, zlib.DEFLATED, 31), 0
-        with system.open_output_stream(attempt, compression=None) as out:
-            for batch in stream:
-                for row in batch.to_pylist():
-                    serial = f"{context.partitionId()}.{n}"
+        rows = (row for batch in stream for row in batch.to_pylist())
+        held = next(rows, None)
+        number = 0
+        while held is not None:
+            name = f"{root}/mono-{context.partitionId():06d}-{number:06d}.warc.gz"
+            attempt = f"{name}.{context.taskAttemptId()}.tmp"
+            gzip, n, size = zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
+            with system.open_output_stream(attempt, compression=None) as out:
+                while held is not None and size < limit:
+                    serial = f"{context.partitionId()}.{number}.{n}"
                     data = page_record(
-                        row["page_id"], row["url"], row["payload"], row["record_type"], row["refers_to"], serial
+                        held["page_id"], held["url"], held["payload"], held["record_type"], held["refers_to"], serial
                     )
                     out.write(gzip.compress(data))
-                    n += 1
-            out.write(gzip.flush())
-        _publish(system, attempt, name)
-        if n:
+                    n, size, held = n + 1, size + len(data), next(rows, None)
+                out.write(gzip.flush())
+            _publish(system, attempt, name)
+            number += 1
             yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([n])], names=["archive", "n"])
 
     return run
@@ -260,18 +266,21 @@ def plan_records(pages: DataFrame) -> DataFrame:
     and combined before the shuffle.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).select(
-        "*", F.when(F.length("payload") >= MIN_REVISIT, F.sha1("payload")).alias("digest")
-    )
-    groups = (
-        rows.where("digest is not null and page_id is not null")
-        .groupBy("digest")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    digest = F.when(F.length("payload") >= MIN_REVISIT, F.sha1("payload"))
+    groups = materialize(
+        rows.select("page_id", digest.alias("g_digest"))
+        .where("g_digest is not null and page_id is not null")
+        .groupBy("g_digest")
         .agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
         .where("first < last")
-        .select(F.col("digest").alias("g_digest"), "last")
+        .select("g_digest", "last"),
+        "warc-groups",
     )
+    # Small payloads have keys of their own, which match nothing and spread evenly.
+    keyed = rows.withColumn("key", F.coalesce(digest, F.concat_ws(":", F.lit("none"), "page_id", F.xxhash64("url").cast("string"))))
     revisit = F.col("page_id") < F.col("last")
-    return rows.join(groups, F.col("digest") == F.col("g_digest"), "left").select(
+    return keyed.join(small_side(groups), F.col("key") == F.col("g_digest"), "left").select(
         "page_id",
         "url",
         "payload",
@@ -280,13 +289,15 @@ def plan_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def _dealt(archives: DataFrame) -> DataFrame:
+    """About one archive a task, by name: hashes would give some tasks several."""
+    return archives.repartitionByRange(max(1, archives.count()), "archive")
+
+
+def write_archives(pages: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Write and normalise archives of ``pages`` in ``folder``; (archive, n)."""
-    made = materialize(plan_records(pages).mapInArrow(write_monolithic(folder), "archive string, n long"), "warc-mono")
-    count = made.count()
-    return materialize(
-        made.repartition(max(1, count), "archive").mapInArrow(normalise(folder), "archive string, n long"), "warc-parts"
-    )
+    made = materialize(plan_records(pages).mapInArrow(write_monolithic(folder, limit), "archive string, n long"), "warc-mono")
+    return materialize(_dealt(made).mapInArrow(normalise(folder), "archive string, n long"), "warc-parts")
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
@@ -298,7 +309,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
         "refers_to long, payload binary"
     )
-    return archives.repartition(max(1, archives.count()), "archive").mapInArrow(read_back(folder), schema)
+    return _dealt(archives).mapInArrow(read_back(folder), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

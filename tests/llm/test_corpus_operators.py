@@ -303,7 +303,7 @@ def test_normaliser(spark):
     made = warc.write_archives(pages, folder).collect()
     assert [r.n for r in made] == [50]
     root = Path(folder)
-    mono, part = root / "mono-000000.warc.gz", root / made[0].archive
+    mono, part = root / "mono-000000-000000.warc.gz", root / made[0].archive
     assert gzip.decompress(mono.read_bytes()) == gzip.decompress(part.read_bytes())
     data = part.read_bytes()
     lines = [json.loads(x) for x in (root / f"{made[0].archive}.idx").read_text().splitlines()]
@@ -314,6 +314,27 @@ def test_normaliser(spark):
     assert not list(root.glob("*.tmp"))
 
 
+def test_archives_are_bounded(spark):
+    pages = pages_of(spark, [(i, f"http://h/{i}", "x" * 300, "") for i in range(20)]).coalesce(1)
+    folder = scratch_path(spark, "warc-bound")
+    made = warc.write_archives(pages, folder, limit=2000)
+    sizes = [r.n for r in made.collect()]
+    assert sum(sizes) == 20 and len(sizes) > 4 and max(sizes) <= 4
+    back = warc.read_archives(spark, made, folder).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in back) == [(i, 300) for i in range(20)]
+
+
+def test_small_payloads_have_keys_of_their_own(spark):
+    pages = pages_of(spark, [(i, "u", "small", "") for i in range(400)])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = warc.plan_records(pages.repartition(4)).hint("merge")
+        assert plan.where("record_type = 'response' and refers_to is null").count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_record_parser():
     one = warc.page_record(1, "u", b"\r\n\r\nWARC/1.1\r\n\r\n", "response", None)
     two = warc.page_record(2, "u", b"", "revisit", 1)
