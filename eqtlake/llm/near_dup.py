@@ -31,7 +31,9 @@ BLOCK = 2048
 def least_agreement(percent: int, size: np.ndarray) -> np.ndarray:
     """Slots of two signatures that must agree before sets, the smaller of
     ``size`` shingles, are compared in full: six standard deviations under what
-    the threshold expects. Bins that borrow double the variance of small sets."""
+    the threshold expects. Bins that borrow double the variance of small sets. A
+    pair at the threshold is ruled out with a chance of about 1e-9; below some 30
+    shingles the bound is under what any pair has and rules nothing out."""
     p = percent / 100
     return BINS * (p - 6 * np.sqrt(2 * p * (1 - p) / np.clip(size, 1, BINS)))
 
@@ -169,55 +171,80 @@ def _sets(width: int):
     return run
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted sets."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+#: Places of a matrix, and pairs, worked on at once.
+_WIDE, _PAIRS = 4096, 4 << 20
 
 
-def _across(percent: int):
-    """Links that join different components among two blocks of a family.
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right.
 
-    A set can share no more than those of its shingles that other components
-    have (``outer``), which rules most pairs out; signatures rule out more; the
-    rest is compared in full. Links inside what is already joined are left out.
+    Elements that many sets have are multiplied as matrices, so a family of near
+    copies costs a product of its common text; those of few sets are counted pair
+    by pair.
     """
+    out = np.zeros((len(left), len(right)), np.float32)
+    known = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, element) by element, and how many sets have each."""
+        of, values = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(known, values)
+        mine = np.flatnonzero(at < len(known))
+        mine = mine[known[at[mine]] == values[mine]]
+        order = mine[np.argsort(at[mine], kind="stable")]
+        return of[order], at[order], np.bincount(at[order], minlength=len(known))
+
+    (r, x, n_r), (c, y, n_c) = places(left), places(right)
+    first_c = np.cumsum(n_c) - n_c
+    many = 100 * n_r * n_c > out.size
+    columns = np.cumsum(many) - 1
+    for i in range(0, int(many.sum()), _WIDE):
+        sides = []
+        for sets, of, at in ((left, r, x), (right, c, y)):
+            mine = many[at] & (columns[at] >= i) & (columns[at] < i + _WIDE)
+            side = np.zeros((len(sets), _WIDE), np.float32)
+            side[of[mine], columns[at[mine]] - i] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    few = np.flatnonzero(~many[x])
+    times = n_c[x[few]]
+    ends = np.cumsum(times)
+    i = 0
+    while i < len(few):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIRS)))
+        t = times[i:j]
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        other = c[np.repeat(first_c[x[few[i:j]]], t) + step]
+        pair = np.repeat(r[few[i:j]], t) * len(right) + other
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        i = j
+    return out
+
+
+def _across(percent: int):
+    """Links that join different components among two blocks of a family, one for
+    each two components."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, label, outer, block, left, right = (
-            group.column(c).to_numpy() for c in ("doc_id", "label", "outer", "block", "first", "second")
+        doc, label, block, left, right = (
+            group.column(c).to_numpy() for c in ("doc_id", "label", "block", "first", "second")
         )
         # Sorted as the unsigned numbers that they are.
         sets = [s.view(np.uint64) for s in group.column("shingles").to_numpy(zero_copy_only=False)]
         size = np.array([len(s) for s in sets], np.int64)
-        sig = _signatures(group.column("sig"))
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = parent.get(up, up)
-                x = up
-            return x
-
         rows, columns = np.flatnonzero(block == left[0]), np.flatnonzero(block == right[0])
-        links = []
-        for i in range(0, len(rows), 64):
-            r = rows[i : i + 64]
-            most = np.minimum(outer[r][:, None], outer[columns][None, :])
-            both = size[r][:, None] + size[columns][None, :]
-            x, y = np.nonzero((label[r][:, None] != label[columns][None, :]) & (100 * most >= percent * (both - most)))
-            x, y = r[x], columns[y]
-            agree = (sig[x] == sig[y]).sum(1) >= least_agreement(percent, np.minimum(size[x], size[y]))
-            for a, b in zip(x[agree].tolist(), y[agree].tolist(), strict=True):
-                one, other = find(int(label[a])), find(int(label[b]))
-                if one == other:
-                    continue
-                shared = _overlap(sets[a], sets[b])
-                if 100 * shared >= percent * (size[a] + size[b] - shared):
-                    parent[max(one, other)] = min(one, other)
-                    links.append((min(doc[a], doc[b]), max(doc[a], doc[b])))
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        found: set[tuple[int, int]] = set()
+        if len(rows) and len(columns):
+            shared = intersections([sets[i] for i in rows], [sets[i] for i in columns])
+            both = size[rows][:, None] + size[columns][None, :]
+            apart = label[rows][:, None] != label[columns][None, :]
+            x, y = np.nonzero(apart & (shared > 0) & (100 * shared.astype(np.int64) >= percent * (both - shared)))
+            names = np.stack([label[rows[x]], label[columns[y]]], 1)
+            _, at = np.unique(np.sort(names, 1), axis=0, return_index=True)
+            for a, b in zip(doc[rows[x[at]]].tolist(), doc[columns[y[at]]].tolist(), strict=True):
+                found.add((min(a, b), max(a, b)))
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -277,19 +304,18 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "components") ->
     )
 
 
-def _mixed(entries: DataFrame) -> DataFrame:
-    """Entries (key, doc_id, label) of buckets with more than one component."""
-    keys = (
-        entries.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high")
-        .select("key", F.col("low").alias("root"))
-    )
-    return entries.join(keys, "key")
+def _mixed(entries: DataFrame, name: str) -> DataFrame:
+    """Entries (key, doc_id, label) of buckets with more than one component.
+
+    The buckets are stored first: then both sides of the join are plain shuffles,
+    and adaptive execution splits a bucket that holds many entries.
+    """
+    keys = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return entries.join(materialize(keys.select("key", F.col("low").alias("root")), name), "key")
 
 
 def _links_across(
-    entries: DataFrame, label: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int
+    entries: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """Links (a, b) between components that share buckets (key, doc_id).
 
@@ -298,12 +324,11 @@ def _links_across(
     anything, the document is done. The others form families, which are
     connected by their buckets, and are compared by blocks of bounded size.
     """
-    mixed = materialize(_mixed(entries.join(label.toDF("doc_id", "label"), "doc_id")), "near-mixed")
+    known = materialize(entries.join(label.toDF("doc_id", "label"), "doc_id"), "near-entries")
+    mixed = materialize(_mixed(known, "near-mixed-keys"), "near-mixed")
     wanted = mixed.select("doc_id", "label").distinct()
     sets = materialize(
-        wanted.join(texts, "doc_id").mapInArrow(_sets(width), "doc_id long, label long, shingles array<long>")
-        .join(reps.select("doc_id", "sig"), "doc_id"),
-        "near-sets",
+        wanted.join(texts, "doc_id").mapInArrow(_sets(width), "doc_id long, label long, shingles array<long>"), "near-sets"
     )
     single = sets.select("doc_id", "label", F.explode("shingles").alias("shingle"))
     spread = (
@@ -313,14 +338,15 @@ def _links_across(
     alive = materialize(
         outer.join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id")
         .where(100 * F.col("outer") >= percent * F.col("n"))
-        .select("doc_id", "outer")
+        .select("doc_id")
         .distinct(),
         "near-alive",
     )
-    left = _mixed(mixed.select("key", "doc_id", "label").join(alive, "doc_id").drop("outer"))
+    still = materialize(mixed.select("key", "doc_id", "label").join(alive, "doc_id"), "near-still")
+    left = materialize(_mixed(still, "near-left-keys"), "near-left")
+    heads = materialize(left.groupBy("key").agg(F.min("doc_id").alias("head")), "near-heads")
     edges = materialize(
-        left.join(left.groupBy("key").agg(F.min("doc_id").alias("head")), "key").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(),
-        "near-families",
+        left.join(heads, "key").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-families"
     )
     nodes = edges.select(F.col("b").alias("doc_id")).distinct()
     family = materialize(components(nodes, edges.where("a != b"), "near-family"), "near-family-labels")
@@ -332,7 +358,6 @@ def _links_across(
         .withColumn("first", F.least("block", "other"))
         .withColumn("second", F.greatest("block", "other"))
         .drop("other", "blocks")
-        .join(alive, "doc_id")
         .join(sets, "doc_id")
     )
     return dealt.groupBy("component_id", "first", "second").applyInArrow(_across(percent), "a long, b long").distinct()
@@ -373,8 +398,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "near-reps",
     )
     entries = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
-    placed = materialize(entries.join(buckets.drop("last"), "key"), "near-placed")
+    # Stored, as in _mixed, so that the entries of a hot bucket can be split.
+    buckets = materialize(
+        entries.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").drop("last"),
+        "near-buckets",
+    )
+    placed = materialize(entries.join(buckets, "key"), "near-placed")
     star = placed.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     nodes = materialize(placed.select("doc_id").distinct(), "near-nodes")
     # Texts of documents in buckets of two or more, moved once for all that follows.
@@ -397,7 +426,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     second = confirmed(apart.select("a", "b"), "near-star")
     label = labelled(first.union(second), "near-second")
     third = materialize(
-        _links_across(placed.select("key", "doc_id"), label, reps, texts, width, percent), "near-across"
+        _links_across(placed.select("key", "doc_id"), label, texts, width, percent), "near-across"
     )
     links = members.union(first).union(second).union(third)
     whole = signed.select("doc_id", "n_shingles")

@@ -160,6 +160,34 @@ def test_signature_recall():
     assert missed == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_pair_at_the_threshold_is_ruled_out(percent):
+    """Pairs just at the threshold keep as many equal slots as the filter asks for."""
+    rng = np.random.default_rng(3)
+    least = []
+    for n in (8, 20, 40, 100, 300, 1000):
+        both = -(-percent * n // 100)
+        for _ in range(250):
+            s = rng.integers(0, 2**63, n, dtype=np.uint64)
+            own = (n - both) // 2
+            a, b = np.unique(s[: both + own]), np.unique(np.concatenate([s[:both], s[both + own :]]))
+            x, y = ((near_dup.signature(v) & near_dup.U64(255)).astype(np.uint8) for v in (a, b))
+            least.append((x == y).sum() - near_dup.least_agreement(percent, np.array(min(len(a), len(b)))))
+    assert min(least) >= 0
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(near_dup, "_WIDE", 7)
+    monkeypatch.setattr(near_dup, "_PAIRS", 50)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(5, 400)], rng.integers(1, 60))) for _ in range(40)]
+    sets += [np.empty(0, np.uint64), pool[:1]]
+    got = near_dup.intersections(sets, sets[::-1])
+    want = [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
+    assert got.tolist() == want
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.range(64).toDF("doc_id")
     links = spark.range(1, 50).select(F.col("id").alias("b"), (F.col("id") - 1).alias("a")).select("a", "b")
