@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, total
-from .spans import in_order, match_spans, no_spans
+from .spans import between, chunks, in_order, match_spans, no_spans
 
 #: Code points before and after a span in which context words count.
 CONTEXT = 60
@@ -175,21 +175,20 @@ def _found(text: Column, rank: int, detector: Detector, threshold: float) -> Col
         spans = F.filter(spans, lambda s: detector.valid(s["match"]))
     near = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(detector.context) + r")"
 
-    def scored(s: Column) -> Column:
-        before = F.substr(
-            text,
-            F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"),
-            F.least(s["start"], F.lit(CONTEXT)).cast("int"),
-        )
-        after = F.substr(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT))
+    def scored(s: Column, cut: Column) -> Column:
+        before = between(cut, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+        after = between(cut, s["end"], s["end"] + CONTEXT)
         score = F.when(F.concat_ws(" ", before, after).rlike(near), F.lit(min(1.0, detector.score + BONUS)))
         return _with_score(s, score.otherwise(F.lit(detector.score)))
 
-    kept = F.filter(F.transform(spans, scored), lambda s: s["score"] >= threshold)
+    none = F.transform(no_spans(), lambda s: _with_score(s, F.lit(0.0)))
+    in_context = let(
+        F.struct(spans.alias("s"), chunks(text).alias("c")), lambda x: F.transform(x["s"], lambda s: scored(s, x["c"]))
+    )
+    # Texts are cut only where there is a span.
+    kept = F.filter(F.when(F.size(spans) > 0, in_context).otherwise(none), lambda s: s["score"] >= threshold)
     if detector.needs:
-        kept = F.when(F.contains(text, F.lit(detector.needs)), kept).otherwise(
-            F.transform(no_spans(), lambda s: _with_score(s, F.lit(0.0)))
-        )
+        kept = F.when(F.contains(text, F.lit(detector.needs)), kept).otherwise(none)
     return kept
 
 
@@ -220,7 +219,7 @@ def redact(text: Column, spans: Column) -> Column:
     anything of it is not yet covered, its label.
     """
 
-    def on(s: Column) -> Column:
+    def on(s: Column, cut: Column) -> Column:
         # Spans are by start; the farthest end before span i, by blocks of 64.
         ends = F.transform(s, lambda x: x["end"])
 
@@ -248,7 +247,7 @@ def redact(text: Column, spans: Column) -> Column:
                 lambda x, i: F.when(
                     x["start"] >= F.get(r, i),
                     F.concat(
-                        F.substr(text, (F.get(r, i) + 1).cast("int"), (x["start"] - F.get(r, i)).cast("int")),
+                        between(cut, F.get(r, i), x["start"]),
                         F.lit("["),
                         F.upper(x["kind"]),
                         F.lit("]"),
@@ -259,4 +258,5 @@ def redact(text: Column, spans: Column) -> Column:
         tail = F.substr(text, (F.array_max(ends) + 1).cast("int"))
         return F.concat(F.array_join(pieces, ""), tail)
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(spans, on))
+    parts = F.struct(spans.alias("s"), chunks(text).alias("c"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, lambda x: on(x["s"], x["c"])))

@@ -54,6 +54,27 @@ def match_spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0
     return F.when(text.rlike(pattern), found).otherwise(no_spans())
 
 
+#: Code points of a chunk.
+CHUNK = 64
+
+
+def chunks(text: Column) -> Column:
+    """The text cut into pieces of CHUNK code points, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text that ``chunks`` has cut, so that a
+    place far down costs no more than one at the head."""
+
+    def on(first: Column) -> Column:
+        last = F.floor((F.greatest(end, start + 1) - 1) / F.lit(CHUNK)).cast("int")
+        whole = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+        return F.substr(whole, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))
+
+    return let(F.floor(start / F.lit(CHUNK)).cast("int"), on)
+
+
 def at_end(span: Column) -> Column:
     """A span that is the capture at the end of its match."""
     return F.struct(
