@@ -332,28 +332,28 @@ def parse_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNP_LINES = [
-    "# comment",
-    "",
-    "1 rsA 0.1 100 A G 0.4",
-    "bad line",
-    "1 rsB 0.2 200 C T 0.2",
-    "1 rsC NA 300",
-    "1 rsD 0 NA A G 0.1",
-    "1 rsE 0 100.0 A G 0.1",
-    "1 rsF x 400 A G 0.1",
-    "1 rsG 0 500 A G x",
-    "\tX\trsH\t0\t600\tNA\tNA\tNA",
-    "1 rsB 0 700 C T 0.2",
+    "  # chr id cM bp a1 a2 freq",
+    "   ",
+    "3 kx10 1.5 4100 T C 0.35",
+    "too short 7",
+    "3\tkx11\t.5\t4200\tG\tA\t1e-2",
+    "3 kx12 NA 4300",
+    "4 kx13 2 NA T C 0.5",
+    "4 kx14 2 4400.0 T C 0.5",
+    "4 kx15 far 4500 T C 0.5",
+    "4 kx16 2 4600 T C often",
+    " Y kx17 0 +4700 NA NA NA ",
+    "4 kx11 2 4800 C G 0.9 left over",
 ]
 PROBE_LINES = [
-    "# c",
-    "1 probeA 0.0 1000 GENE1 +",
+    "#probes",
+    "7 ILM_1 0.25 88000 ABC1 -",
     "",
-    "bad line",
-    "1 probeB 0.0 2000 GENE2 -",
-    "2 probeC NA 2000",
-    "2 probeD 0 2.5 GENE1 +",
-    "X probeE 1e-1 3000 NA",
+    "7 ILM_2 88100",
+    "7 ILM_3 NA 88200 XYZ9 +",
+    "9 ILM_4 0 91000",
+    "9 ILM_5 0 9.1e4 ABC1 +",
+    "MT ILM_1 2e-1 500 NA",
 ]
 
 
@@ -412,15 +412,54 @@ def format_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sources and stores ---------------------------------------------------
 
 
+def _written(spark: SparkSession, sf_dir: str, kind: str = "3F") -> Dataset:
+    """The star with its fact written as a binary matrix."""
+    ds = dataset(spark, sf_dir)
+    path, n_probes = f"{scratch_path(spark, 'besd')}/matrix.besd", ds.probes.count()
+    write_besd(ds.assoc, n_probes, path, kind)
+    assoc = besd.read_assoc(spark, path, n_probes, valuesPerPartition=50_000)
+    return Dataset(ds.snps, ds.probes, assoc, matrix=(path, n_probes))
+
+
 @registered(f"WITH {STAR} {LONG}")
 def besd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fact written as a binary matrix and read by its source."""
-    ds = dataset(spark, sf_dir)
-    path = f"{scratch_path(spark, 'besd')}/matrix.besd"
-    rows = ds.assoc.orderBy("probe_idx", "ord").select("probe_idx", "snp_idx", "beta", "se").toLocalIterator()
-    n_probes = ds.probes.count()
-    write_besd(rows, n_probes, path)
-    return _long(besd.read_assoc(spark, path, n_probes, valuesPerPartition=50_000))
+    return _long(_written(spark, sf_dir).assoc)
+
+
+@registered(f"WITH {STAR} {LONG}")
+def besd_format3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in format 3."""
+    return _long(_written(spark, sf_dir, "3").assoc)
+
+
+@registered(star_sql(**CIS))
+def besd_cis_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window over a binary matrix: only the slices of its probes are read."""
+    return rounded(q.cis_window(_written(spark, sf_dir), SNPS, PROBES))
+
+
+@registered(
+    f"""WITH {STAR} SELECT (row_number() OVER (ORDER BY bp, row_idx) - 1)::BIGINT AS pos, row_idx, bp
+FROM snp WHERE {_in(SNPS, 'bp')}"""
+)
+def snp_range_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The range in its order, with the place of each row."""
+    found = q.snp_range(dataset(spark, sf_dir), SNPS, ordered=True)
+    # One task keeps the order, which is what is asked for here.
+    return found.coalesce(1).select(F.monotonically_increasing_id().alias("pos"), "row_idx", "bp")
+
+
+@registered(f"WITH {STAR} SELECT row_idx, chr, snp_id, genetic_dist, bp, a1, a2, freq FROM snp")
+def esi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SNPs written as text lists of several files and read in splits."""
+    path = scratch_path(spark, "esi")
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    line = F.concat_ws(" ", "chr", "snp_id", F.lit("0"), "bp", cell("a1"), cell("a2"), F.lit("NA"))
+    snps = dataset(spark, sf_dir).snps
+    snps.repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx").select(line).write.text(path)
+    back = text.read_snps(spark, path)
+    return back.withColumns({c: F.when(F.col(c) != ".", F.col(c)) for c in ("a1", "a2")})
 
 
 def _stored(spark: SparkSession, sf_dir: str, by_snp: bool = False) -> Dataset:

@@ -131,8 +131,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     try:
         if kind != "cis":
             column = {"snp": "snp_id", "probe": "probe_id", "gene": "gene"}[kind]
-            once = select(ds, kind, sorted(set(wanted)))
-            for r in summary.id_counts(once, wanted, column).orderBy("pos").collect():
+            times = {x: wanted.count(x) for x in wanted}
+            for r in summary.id_counts(found, wanted, column, times).orderBy("pos").collect():
                 print(f"  {r.id}: {r.n} associations")
         counts = summary.threshold_counts(found, args.query).first()
         print(f"\nFound {counts.n_all} associations")

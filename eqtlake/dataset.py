@@ -24,6 +24,8 @@ class Dataset:
     assoc: DataFrame
     meta: DataFrame | None = None
     assoc_by_snp: DataFrame | None = None
+    #: The binary matrix that ``assoc`` reads and its number of probes.
+    matrix: tuple[str, int] | None = None
 
     @classmethod
     def from_frames(cls, snps: DataFrame, probes: DataFrame, assoc: DataFrame) -> Dataset:
@@ -42,7 +44,8 @@ class Dataset:
             "n_probes": str(n_probes),
             **{f"{e}_path": f"{prefix}.{e}" for e in ("besd", "esi", "epi")},
         }
-        return cls(snps, probes, assoc, spark.createDataFrame(sorted(values.items()), META))
+        meta = spark.createDataFrame(sorted(values.items()), META)
+        return cls(snps, probes, assoc, meta, matrix=(f"{prefix}.besd", n_probes))
 
     @classmethod
     def from_store(cls, spark: SparkSession, folder: str) -> Dataset:
@@ -73,17 +76,25 @@ class Dataset:
         return "probe_chr" in self.assoc.columns
 
     def assoc_of_probes(self, probes: DataFrame) -> DataFrame:
-        """The fact for a join with filtered ``probes``, pruned if it is stored."""
-        if not self.stored:
+        """The fact for a join with filtered ``probes``: of a store the partitions
+        that they are in, of a binary matrix their slices."""
+        if not self.stored and self.matrix is None:
             return self.assoc
         found = probes.select("row_idx", "chr").distinct().limit(LOOKUP_ROWS + 1).collect()
         if len(found) > LOOKUP_ROWS:
             return self.assoc.drop("probe_chr")
-        chosen = F.col("probe_chr").isin(sorted({r.chr for r in found})) & F.col("probe_idx").isin(
-            sorted(r.row_idx for r in found)
-        )
+        rows = sorted(r.row_idx for r in found)
+        if self.matrix is not None:
+            return besd.read_assoc(probes.sparkSession, *self.matrix, probes=rows)
+        chosen = F.col("probe_chr").isin(sorted({r.chr for r in found})) & F.col("probe_idx").isin(rows)
         return self.assoc.where(chosen).drop("probe_chr")
 
+    def assoc_of_probe(self, probe_idx: int) -> DataFrame:
+        """The fact of one probe row."""
+        if self.matrix is not None:
+            return besd.read_assoc(self.snps.sparkSession, *self.matrix, probes=[probe_idx])
+        return self.assoc.where(F.col("probe_idx") == F.lit(probe_idx))
+
     def assoc_of_snps(self, snps: DataFrame) -> DataFrame:
         """The fact for a join with filtered ``snps``, from the SNP projection if
         there is one."""

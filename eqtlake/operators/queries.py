@@ -176,7 +176,7 @@ def by_gene(
 def probe_associations(ds: Dataset, probe_idx: int) -> DataFrame:
     """(snp_idx, beta, se) of one probe in storage order; none for a number that
     no probe has."""
-    own = ds.assoc.where(F.col("probe_idx") == F.lit(probe_idx))
+    own = ds.assoc_of_probe(probe_idx)
     return own.orderBy("ord").select("snp_idx", F.col("beta").cast("double"), F.col("se").cast("double"))
 
 

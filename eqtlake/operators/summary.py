@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +18,19 @@ def threshold_counts(found: DataFrame, pval_below: float) -> DataFrame:
     )
 
 
-def id_counts(found: DataFrame, ids: Sequence[str], column: str) -> DataFrame:
+def id_counts(
+    found: DataFrame, ids: Sequence[str], column: str, times: Mapping[str, int] | None = None
+) -> DataFrame:
     """(pos, id, n) for each requested id, 0 for one without rows.
 
-    ``found`` holds the rows of each distinct id once.
+    ``found`` holds the rows of each distinct id once, or as often as ``times`` says.
     """
-    wanted = id_table(found.sparkSession, ids, "id")
+    spark = found.sparkSession
+    wanted = id_table(spark, ids, "id")
     counts = found.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n"))
+    if times:
+        held = spark.createDataFrame(sorted(times.items()), "id string, times long")
+        counts = counts.join(F.broadcast(held), "id").select("id", F.expr("n div times").alias("n"))  # the caller's ids
     return wanted.join(counts, "id", "left").select("pos", "id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

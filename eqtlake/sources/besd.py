@@ -3,18 +3,19 @@
 The driver reads the header and the offset array (16 bytes a probe) and deals out
 stretches of probes of about equal size; executors seek to their slices and give
 Arrow batches. Register it with ``register(spark)``; options are ``path``,
-``nProbes`` (accepted rows of the probe list) and ``valuesPerPartition``.
+``nProbes`` (accepted rows of the probe list), ``valuesPerPartition`` and
+``probes`` (rows, comma-separated: only their slices are read).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Magic numbers and header sizes in bytes, before the value count.
@@ -25,7 +26,7 @@ VALUES_PER_PARTITION = 4_000_000
 BATCH = 100_000
 
 
-def _locate(path: str) -> tuple[pafs.FileSystem, str]:
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path or URI, and its name there."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
@@ -34,13 +35,13 @@ def _locate(path: str) -> tuple[pafs.FileSystem, str]:
 
 def open_file(path: str) -> pa.NativeFile:
     """A seekable file of any file system that pyarrow knows."""
-    system, name = _locate(path)
+    system, name = locate(path)
     return system.open_input_file(name)
 
 
 def create_file(path: str) -> pa.NativeFile:
     """A file to write, with its parent folders."""
-    system, name = _locate(path)
+    system, name = locate(path)
     system.create_dir(name.rpartition("/")[0] or ".", recursive=True)
     return system.open_output_stream(name)
 
@@ -90,10 +91,12 @@ class Stretch(InputPartition):
         self.slices, self.n_values, self.rowid_at = slices, n_values, rowid_at
 
 
-def stretches(layout: Layout, values: int) -> Iterator[Stretch]:
-    """Cut the probes, and probes that are too wide, into even stretches."""
+def stretches(layout: Layout, values: int, probes: Iterable[int] | None = None) -> Iterator[Stretch]:
+    """Cut the probes (all, or those given), and probes that are too wide, into even
+    stretches."""
     held, size = [], 0
-    for p in range((len(layout.cols) - 1) // 2):
+    n_probes = (len(layout.cols) - 1) // 2
+    for p in range(n_probes) if probes is None else sorted(x for x in set(probes) if 0 <= x < n_probes):
         begin, middle = int(layout.cols[2 * p]), int(layout.cols[2 * p + 1])
         for first in range(0, max(0, middle - begin), values):
             last = min(first + values, middle - begin)
@@ -111,9 +114,11 @@ class BesdReader(DataSourceReader):
         self.path = options["path"]
         self.n_probes = int(options["nProbes"])
         self.values = int(options.get("valuesPerPartition", VALUES_PER_PARTITION))
+        rows = options.get("probes")
+        self.probes = None if rows is None else [int(x) for x in rows.split(",") if x]
 
     def partitions(self) -> Sequence[InputPartition]:
-        found = list(stretches(read_layout(self.path, self.n_probes), self.values))
+        found = list(stretches(read_layout(self.path, self.n_probes), self.values, self.probes))
         return found or [Stretch([], 0, 0)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
@@ -164,8 +169,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BesdSource)
 
 
-def read_assoc(spark: SparkSession, path: str, n_probes: int, **options: object):
+def read_assoc(
+    spark: SparkSession, path: str, n_probes: int, probes: Iterable[int] | None = None, **options: object
+) -> DataFrame:
+    """The fact of a file; with ``probes`` only the slices of these rows are read."""
     register(spark)
+    if probes is not None:
+        options["probes"] = ",".join(map(str, probes))
     reader = spark.read.format("besd").option("path", path).option("nProbes", n_probes)
     for k, v in options.items():
         reader = reader.option(k, v)

@@ -2,7 +2,8 @@
 
 Rows are numbered by accepted line, as the binary matrix refers to them so. The
 file is read in splits: accepted lines are counted per split, and a line's number
-is what earlier splits hold plus its place in its own, so no task sees it all.
+is what earlier splits hold plus its place in its own, so no task sees it all. Of a
+folder or pattern the files follow each other by name.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def number_rows(rows: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("block"),
         F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("line"),
     )

@@ -6,25 +6,26 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 
-from eqtlake.sinks import write_besd
+from eqtlake.sources.besd import MAGIC_3, MAGIC_3F
 
 SNP_LINES = [
-    "# comment",
+    "#chr id cM bp a1 a2 freq",
     "",
-    "1 rsA 0.1 100 A G 0.4",
-    "bad line",
-    "1\trsB\t0.2\t200\tC\tT\t0.2",
-    "1 rsC NA 300",
-    "1 rsD 0 NA A G 0.1",
-    "X rsE 0 400 A G NA",
-    "1 rsB 0 200 G T 0.3",
+    "1 snA 0.1 100 A G 0.4",
+    "three fields only",
+    "1\tsnB\t0.2\t200\tC\tT\t0.2",
+    "1 snC NA 300",
+    "1 snD 0 NA A G 0.1",
+    "X snE 0 400 A G NA",
+    "1 snB 0 200 G T 0.3",
 ]
 PROBE_LINES = [
-    "# comment",
+    "# probes",
     "1 p0 0 150 G1 +",
     "1 p1 0 150 G2 -",
-    "bad line",
+    "p9 too short",
     "X p2 0 350 G1 +",
     "1 p3 0 5000",
     "1 p1 0 100 NA +",
@@ -45,11 +46,22 @@ ROWS = [
 N_SNPS, N_PROBES = 5, 5
 
 
+def write_small_besd(rows: list[tuple], n_probes: int, path: str, kind: str = "3F") -> None:
+    """A binary matrix from (probe, SNP, beta, se) in storage order."""
+    by_probe = [[r[1:] for r in rows if r[0] == p] for p in range(n_probes)]
+    ends = np.cumsum([0] + [len(own) for own in by_probe for _ in range(2)])
+    snps = [s for own in by_probe for _ in range(2) for s, _, _ in own]
+    values = [r[c] for own in by_probe for c in (1, 2) for r in own]
+    head = np.array([MAGIC_3F], "<u4").tobytes() if kind == "3F" else np.array([MAGIC_3], "<u4").tobytes() + bytes(60)
+    body = [np.array([len(snps)], "<u8"), ends.astype("<u8"), np.array(snps, "<u4"), np.array(values, "<f4")]
+    Path(path).write_bytes(head + b"".join(x.tobytes() for x in body))
+
+
 def make_files(folder: Path, kind: str = "3F") -> str:
     prefix = str(folder / "set")
     Path(f"{prefix}.esi").write_text("\n".join(SNP_LINES) + "\n")
     Path(f"{prefix}.epi").write_text("\n".join(PROBE_LINES) + "\n")
-    write_besd(ROWS, N_PROBES, f"{prefix}.besd", kind)
+    write_small_besd(ROWS, N_PROBES, f"{prefix}.besd", kind)
     return prefix
 
 

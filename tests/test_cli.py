@@ -56,16 +56,16 @@ def test_index_then_queries(spark, tmp_path, capsys):
     reports = []
     for source in (["--beqtl-summary", prefix], ["--besd-index", folder]):
         out = tmp_path / "deep" / source[0].strip("-")
-        assert cli.main([*source, "--snp", "rsA, none,rsA", "--out", str(out), "--query", "1"], spark) == 0
+        assert cli.main([*source, "--snp", "snA, none,snA", "--out", str(out), "--query", "1"], spark) == 0
         reports.append((tmp_path / "deep" / f"{out.name}.txt").read_text())
     assert reports[0] == reports[1]
     lines = reports[0].splitlines()
     assert lines[0].split("\t")[:3] == ["SNP", "SNP_Chr", "SNP_bp"]
     p = support.p_value(0.5, float(np.float32(0.1)))
-    assert lines[1].split("\t") == [*"rsA 1 100 A G p0 1 150 G1 0.500000 0.100000".split(), f"{p:.6e}"]
+    assert lines[1].split("\t") == [*"snA 1 100 A G p0 1 150 G1 0.500000 0.100000".split(), f"{p:.6e}"]
     assert len(lines) == 3
     printed = capsys.readouterr().out
-    assert "  rsA: 3 associations" in printed and "  none: 0 associations" in printed
+    assert "  snA: 3 associations" in printed and "  none: 0 associations" in printed
 
 
 def test_window_and_empty_results(spark, tmp_path, capsys):

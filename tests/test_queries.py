@@ -25,7 +25,7 @@ def expected(keep_snp, keep_probe):
     return out
 
 
-SNP_IDS = ["rsA", "rsB", "rsC", "rsE", "rsB"]
+SNP_IDS = ["snA", "snB", "snC", "snE", "snB"]
 PROBE_IDS = ["p0", "p1", "p2", "p3", "p1"]
 
 
@@ -68,10 +68,10 @@ def test_overlapping_windows_repeat_rows(ds):
 
 
 def test_by_snp(ds):
-    check(by_snp(ds, "rsA", ordered=True), expected(lambda s: s == 0, lambda p: True))
-    # Of two SNPs named rsB the first is meant.
-    check(by_snp(ds, "rsB", ordered=True), expected(lambda s: s == 1, lambda p: True))
-    first = by_snp(ds, "rsA", first_only=True, ordered=True)
+    check(by_snp(ds, "snA", ordered=True), expected(lambda s: s == 0, lambda p: True))
+    # Of two SNPs named snB the first is meant.
+    check(by_snp(ds, "snB", ordered=True), expected(lambda s: s == 1, lambda p: True))
+    first = by_snp(ds, "snA", first_only=True, ordered=True)
     check(first, [w for i, w in enumerate(expected(lambda s: s == 0, lambda p: True)) if i != 1])
 
 
@@ -86,7 +86,7 @@ def test_by_probe_and_gene(ds):
 def test_lists_keep_order_and_repeats(ds):
     once = expected(lambda s: s == 0, lambda p: True)
     other = expected(lambda s: s == 3, lambda p: True)
-    check(by_snp(ds, ["rsA", "rsE", "none", "rsA"], ordered=True), once + other + once)
+    check(by_snp(ds, ["snA", "snE", "none", "snA"], ordered=True), once + other + once)
     assert by_gene(ds, ["G1", "G1"]).count() == 2 * by_gene(ds, "G1").count()
 
 
@@ -116,9 +116,9 @@ def test_summaries(ds):
     arrays = {r.probe_idx: (r.snp_count, r.snp_indices) for r in summary.probe_arrays(ds).collect()}
     assert arrays[0] == (3, [0, 2, 0]) and arrays[1] == (0, [])
     assert summary.from_arrays(summary.probe_arrays(ds)).count() == len(support.ROWS)
-    ids = ["rsA", "none", "rsA"]
+    ids = ["snA", "none", "snA"]
     got = summary.id_counts(by_snp(ds, sorted(set(ids))), ids, "snp_id").orderBy("pos").collect()
-    assert [(r.id, r.n) for r in got] == [("rsA", 3), ("none", 0), ("rsA", 3)]
+    assert [(r.id, r.n) for r in got] == [("snA", 3), ("none", 0), ("snA", 3)]
     row = summary.threshold_counts(by_gene(ds, "G1"), 0.05).first()
     want = expected(lambda s: True, lambda p: p in (0, 2))
     assert (row.n_all, row.n_below) == (len(want), sum(w[-1] < 0.05 for w in want))

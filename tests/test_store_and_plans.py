@@ -42,7 +42,7 @@ def test_window_plan_prunes_the_store(stored):
 
 
 def test_snp_lookup_uses_the_projection(stored):
-    assert any("snp_idx" in x for x in explain.pushed_filters(by_snp(stored, "rsA")))
+    assert any("snp_idx" in x for x in explain.pushed_filters(by_snp(stored, "snA")))
 
 
 def test_queries_stay_in_the_jvm(spark):
