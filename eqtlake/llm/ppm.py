@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize
 from .packs import Pack, answers, each_pack, entries, is_in, pack_texts
 
 FOLDS = 10
@@ -35,8 +35,11 @@ END = 256
 #: first. A task's model takes 41 MB for them, at most 68 MB for contexts of two
 #: bytes and at most 68 MB for the places of three; others are looked up.
 LONG_CONTEXTS = 40_000
-#: Distinct (context, symbol) codes that a task gathers before it sends them on.
-HELD_CODES = 4 << 20
+#: Words whose counts every task holds (1 MB), the most frequent first, so that packs
+#: ask for the others only.
+COMMON_WORDS = 65_536
+#: Distinct keys whose counts a task gathers before it sends them on.
+HELD_KEYS = 4 << 20
 ALPHA = 0.1
 
 
@@ -59,30 +62,49 @@ def gram_codes(data: bytes) -> np.ndarray:
     return before * SYMBOLS + symbols
 
 
-def _count_grams(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(code, n) of the flagged texts, summed over the task as far as memory allows."""
-    codes = np.empty(0, np.int64)
-    counts = np.empty(0, np.int64)
-    for pack in each_pack(stream):
-        held = [gram_codes(t) for t, own in zip(pack.texts(), pack.flags, strict=True) if own]
-        if not held:
-            continue
-        new, n = np.unique(np.concatenate(held), return_counts=True)
-        codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-        if len(codes) >= HELD_CODES:
-            yield from _counted(codes, counts)
-            codes, counts = codes[:0], counts[:0]
-    yield from _counted(codes, counts)
-
-
-def _counted(codes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(codes), 200_000):
+def _count(keys):
+    """Task function: (key, n) over the packs, ``keys`` of each, summed over the task
+    as far as memory allows."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for pack in each_pack(stream):
+            new, n = np.unique(keys(pack), return_counts=True)
+            known, at = np.unique(np.concatenate([known, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(known)).astype(np.int64)
+            if len(known) >= HELD_KEYS:
+                yield from _counted(known, counts)
+                known, counts = known[:0], counts[:0]
+        yield from _counted(known, counts)
+
+    return run
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), 200_000):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(codes[i : i + 200_000]), pa.array(counts[i : i + 200_000])], names=["code", "n"]
+            [pa.array(keys[i : i + 200_000]), pa.array(counts[i : i + 200_000])], names=["key", "n"]
         )
 
 
+def _grams(pack: Pack) -> np.ndarray:
+    """Codes of the flagged texts."""
+    held = [gram_codes(t) for t, own in zip(pack.texts(), pack.flags, strict=True) if own]
+    return np.concatenate(held) if held else np.empty(0, np.int64)
+
+
+def _words(pack: Pack) -> np.ndarray:
+    """Word hashes of the flagged texts, A-Z in lower case."""
+    batch = pack.batch(lower=True)
+    return batch.words[pack.flags[batch.row_of_word()]].view(np.int64)
+
+
+def counted(packs: DataFrame, keys, column: str, name: str) -> DataFrame:
+    """(column, n): how often each key occurs in the flagged texts of all packs."""
+    parts = packs.mapInArrow(_count(keys), "key long, n long")
+    return materialize(parts.groupBy(F.col("key").alias(column)).agg(F.sum("n").alias("n")), name)
+
+
 @dataclass
 class Tails:
     """Distributions of a pack's contexts outside the head: sorted codes seen with
@@ -239,13 +261,6 @@ def _distributions(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray, sho
         )
 
 
-def count_grams(packs: DataFrame) -> DataFrame:
-    """(code, n): how often each symbol follows each context of three bytes in the
-    flagged texts of all packs."""
-    parts = packs.mapInArrow(_count_grams, "code long, n long")
-    return materialize(parts.groupBy("code").agg(F.sum("n").alias("n")), "ppm-counts")
-
-
 def train(counts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
     """Trie from the counts of all texts. The driver gets those of two-byte contexts
     (65,536 x 257 at most) and of the ``long_contexts`` most frequent three-byte
@@ -269,13 +284,31 @@ def train(counts: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Trie:
 # ---- what packs ask for ---------------------------------------------------
 
 
-def _ask_words(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, hash, n): a pack's distinct words and how often flagged texts have them."""
-    for pack in each_pack(stream):
-        batch = pack.batch(lower=True)
-        found, of = np.unique(batch.words, return_inverse=True)
-        n = np.bincount(of, pack.flags[batch.row_of_word()], len(found)).astype(np.int64)
-        yield entries(pack.uid, hash=found.view(np.int64), n=n)
+@dataclass
+class Common:
+    """The most frequent words: sorted hashes and counts; rows that train, each of
+    which has one end."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    ends: int
+
+
+def common_words(words: DataFrame, ends: int, most: int) -> Common:
+    top = words.orderBy(F.desc("n"), "hash").limit(most).toArrow()
+    order = np.argsort(hashes := top.column("hash").to_numpy())
+    return Common(hashes[order], top.column("n").to_numpy()[order], ends)
+
+
+def _ask_words(common):
+    """(uid, hash): a pack's distinct words that are not common."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in each_pack(stream):
+            found = np.unique(pack.batch(lower=True).words.view(np.int64))
+            yield entries(pack.uid, hash=found[~is_in(found, common.value.hashes)])
+
+    return run
 
 
 def _ask_contexts(trie):
@@ -306,23 +339,23 @@ def _pack_tails(pack: Pack) -> Tails | None:
     )
 
 
-def _score(trie, ends: int):
+def _score(trie, common):
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = common.value.ends
         for pack in each_pack(stream):
             batch, tails = pack.batch(lower=True), _pack_tails(pack)
             n, row = len(batch.ids), batch.row_of_word()
             found = pack.found("words")
-            order = np.argsort(known := found.field("hash").to_numpy())
-            known, times = known[order], found.field("n").to_numpy()[order]
-            words = batch.words.view(np.int64)
-            hit = is_in(words, known)
-            count = np.zeros(len(words))
-            count[hit] = times[np.searchsorted(known, words[hit])]
+            order = np.argsort(rare := found.field("hash").to_numpy())
+            words, count = batch.words.view(np.int64), np.zeros(len(batch.words))
+            for known, times in ((common.value.hashes, common.value.counts), (rare[order], found.field("n").to_numpy()[order])):
+                hit = is_in(words, known)
+                count[hit] = times[np.searchsorted(known, words[hit])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pack.ids(),
                     pa.array(np.diff(batch.bounds) + 1, pa.int64()),
-                    pa.array((np.bincount(row, hit, n) + (ends > 0)).astype(np.int64)),
+                    pa.array((np.bincount(row, count > 0, n) + (ends > 0)).astype(np.int64)),
                     pa.array(np.bincount(row, np.log10(count + ALPHA), n) + np.log10(ends + ALPHA)),
                     pa.array([trie.value.log10(t, tails) for t in batch.texts], pa.float64()),
                 ],
@@ -332,29 +365,30 @@ def _score(trie, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, long_contexts: int = LONG_CONTEXTS) -> DataFrame:
+def score_documents(
+    docs: DataFrame, long_contexts: int = LONG_CONTEXTS, most_common: int = COMMON_WORDS
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose crc32 of the id modulo FOLDS is not 0 train both models; every row
     is scored. A null or empty text has the end token only. Null and repeated
     ids and repeated rows each give a row. An empty table gives an empty result.
-    Columns besides doc_id and text are ignored. ``long_contexts`` bounds what every
-    task holds, not what the scores rest on: the counts of all words and contexts
-    are tables, and packs ask for what they have.
+    Columns besides doc_id and text are ignored. ``long_contexts`` and
+    ``most_common`` bound what every task holds, not what the scores rest on: the
+    counts of all words and contexts are tables, and packs ask for what they have.
     """
     send = docs.sparkSession.sparkContext.broadcast
     kind = docs.schema["doc_id"].dataType
     packs = pack_texts(docs.select("doc_id", "text", fold(F.col("doc_id")) != 0), "ppm-packs")
-    counts = count_grams(packs)
+    counts = counted(packs, _grams, "code", "ppm-counts")
     trie = train(counts, long_contexts)
-    shared = send(trie)
-    asked = materialize(packs.mapInArrow(_ask_words, "uid long, hash long, n long"), "ppm-asked")
-    words = materialize(asked.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 0"), "ppm-words")
+    words = counted(packs, _words, "hash", "ppm-words")
     tokens, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     ends = packs.agg(F.sum("n_flagged")).first()[0] or 0
     tokens, distinct = tokens + ends, distinct + (ends > 0)
-    given = materialize(answers(asked.drop("n").join(words, "hash"), "words", "hash", "n"), "ppm-given")
-    release(asked)
+    shared, common = send(trie), send(common_words(words, ends, most_common))
+    asked = packs.mapInArrow(_ask_words(common), "uid long, hash long")
+    given = materialize(answers(asked.join(words, "hash"), "words", "hash", "n"), "ppm-given")
     rare = materialize(
         counts.select(F.floor(F.col("code") / SYMBOLS).cast("int").alias("context"), "code", "n")
         .repartition("context")
@@ -367,7 +401,7 @@ def score_documents(docs: DataFrame, long_contexts: int = LONG_CONTEXTS) -> Data
     scored = (
         packs.join(given, "uid", "left")
         .join(tails, "uid", "left")
-        .mapInArrow(_score(shared, ends), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
+        .mapInArrow(_score(shared, common), f"doc_id {kind.simpleString()}, n_tokens long, n_known long, raw double, score double")
     )
     bottom = tokens + ALPHA * (distinct + 1)
     return scored.select(

@@ -258,9 +258,11 @@ def test_lm_scores_beyond_the_head(spark):
     assert len(contexts) > ppm.LONG_CONTEXTS + 5000
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = {i: brute.ppm(train, t.encode()) for i, t in rows[30:]}
+    base = brute.unigram_all([t for i, t in rows if crc(i) % 10], texts)
     for held in (ppm.LONG_CONTEXTS, 7):
-        got = {r.doc_id: r.score for r in ppm.score_documents(docs, held).where("doc_id >= 30").collect()}
-        assert got == pytest.approx(want, rel=1e-5)
+        rows = ppm.score_documents(docs, held, 7).where("doc_id >= 30").collect()
+        assert {r.doc_id: r.score for r in rows} == pytest.approx(want, rel=1e-5)
+        assert {r.doc_id: r.base_score for r in rows} == pytest.approx({i: base[i][3] for i in want}, rel=1e-9)
 
 
 def test_lm_distribution_sums_to_one():
