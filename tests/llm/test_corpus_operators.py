@@ -1,7 +1,9 @@
 """Operators over a whole corpus, against plain Python."""
 
 import gzip
+import itertools
 import json
+import math
 import random
 import zlib
 from functools import partial
@@ -300,6 +302,36 @@ def test_classifier(spark, docs, odd_docs, no_docs):
         assert scored.count() == odd.count() and scored.where("score is null").count() == 0
 
 
+def test_classifier_score_by_hand(spark):
+    """The fitted weights applied word by word and node by node in plain Python."""
+    good = [f"calm river number {i} flows past the old mill and the green field {i % 7}" for i in range(60)]
+    bad = [f"BUY $$$ {i} !!! now now now {i} CLICK $$$" for i in range(60)]
+    model = classifier.fit(good + bad, [1] * 60 + [0] * 60)
+    w1, b1, w2, b2 = (x.tolist() for x in model.layers)
+
+    def by_hand(text):
+        words, x = text.encode().split(), [0.0] * (classifier.DIMENSIONS + classifier.FORM)
+        if words:
+            for w in words:
+                at = model.words.get(w, model.shapes.get(classifier.shape(w), 0))
+                for d in range(classifier.DIMENSIONS):
+                    x[d] += float(model.vectors[at][d]) / len(words)
+            lines = [y for y in text.encode().split(b"\n") if y.strip()]
+            same = sum(a == b for a, b in itertools.pairwise(words))
+            kinds = len(set(words)) / len(words)
+            x[classifier.DIMENSIONS :] = [math.log1p(len(words)), kinds, len(set(lines)) / len(lines), len(text.encode()) / len(words), same / len(words)]
+        z = [(v - m) / s for v, m, s in zip(x, model.mean.tolist(), model.scale.tolist(), strict=True)]
+        hidden = [max(0.0, b + sum(v * row[j] for v, row in zip(z, w1, strict=True))) for j, b in enumerate(b1)]
+        logit = b2[0] + sum(h * w for h, w in zip(hidden, w2, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit / model.temperature))))
+
+    texts = [good[3], bad[4], "", "one\none\n\ntwo $$$", "never seen words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in classifier.score_documents(docs, model).collect():
+        assert r.score == pytest.approx(by_hand(texts[r.doc_id]), abs=1e-6)
+        assert r.predicted == (r.score >= 0.3)
+
+
 def test_classifier_without_labels(docs):
     labels = docs.select("doc_id", F.lit(1).alias("quality")).where("false")
     assert {r.score for r in classifier.classify(docs, labels).collect()} == {0.5}
