@@ -6,6 +6,7 @@ import json
 import math
 import random
 import zlib
+from collections import Counter
 from functools import partial
 from pathlib import Path
 
@@ -302,18 +303,64 @@ def test_classifier(spark, docs, odd_docs, no_docs):
         assert scored.count() == odd.count() and scored.where("score is null").count() == 0
 
 
+def rows_by_hand(vocabulary):
+    """Which row of the vectors a word has, looked up one by one."""
+    shapes = {int(h): 1 + i for i, h in enumerate(vocabulary.shapes)}
+    words = {int(h): 1 + len(shapes) + i for i, h in enumerate(vocabulary.words)}
+
+    def row(word):
+        kinds = [chr(b) if b < 128 and not chr(b).isalnum() else "0" if 48 <= b <= 57 else "A" if 65 <= b <= 90 else "a" for b in word]
+        short = "".join(k for k, _ in itertools.groupby(kinds)).encode()
+        h, s = (int(fingerprint.word_hashes(x)[0]) for x in (word, short))
+        return words.get(h, shapes.get(s, 0))
+
+    return row
+
+
+def test_word_vectors_over_all_documents(spark, docs, odd_docs, no_docs):
+    """Sums of neighbours' index vectors, word by word; alike however rows are dealt,
+    and with vocabularies smaller than the words there are."""
+    for rows, words, shapes in ((docs, 12, 4), (docs, 10_000, 2), (odd_docs, 3, 1), (no_docs, 5, 5)):
+        vocabulary = classifier.learn_vocabulary(rows, words, shapes)
+        texts = [(r.text or "").encode().split() for r in rows.select("text").collect()]
+        n = Counter(w for t in texts for w in t)
+        assert len(vocabulary.words) == min(words, len(n)) and len(vocabulary.shapes) <= shapes
+        assert sorted(vocabulary.n_words.tolist()) == sorted(n.values())[len(n) - len(vocabulary.words) :]
+        row_of, index = rows_by_hand(vocabulary), vocabulary.index().tolist()
+        want = [[0] * classifier.DIMENSIONS for _ in index]
+        for t in texts:
+            at = [row_of(w) for w in t]
+            for i, a in enumerate(at):
+                for b in at[max(0, i - 2) : i] + at[i + 1 : i + 3]:
+                    want[a] = [x + y for x, y in zip(want[a], index[b], strict=True)]
+        want = vocabulary.vectors(np.array(want))
+        assert (classifier.learn_vectors(rows, vocabulary) == want).all()
+        assert (classifier.learn_vectors(rows.repartition(5, "text"), vocabulary) == want).all()
+    assert (classifier.index_vectors(np.arange(50, dtype=np.uint64)) != 0).sum() == 50 * classifier.NONZERO
+
+
+def test_vectors_of_texts(spark, docs):
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    alone, found = classifier.vectors_of(texts)
+    vocabulary = classifier.learn_vocabulary(docs)
+    for name in ("words", "n_words", "shape_of", "shapes", "n_shapes"):
+        assert (getattr(alone, name) == getattr(vocabulary, name)).all()
+    assert (classifier.learn_vectors(docs, vocabulary) == found).all()
+
+
 def test_classifier_score_by_hand(spark):
     """The fitted weights applied word by word and node by node in plain Python."""
     good = [f"calm river number {i} flows past the old mill and the green field {i % 7}" for i in range(60)]
     bad = [f"BUY $$$ {i} !!! now now now {i} CLICK $$$" for i in range(60)]
     model = classifier.fit(good + bad, [1] * 60 + [0] * 60)
     w1, b1, w2, b2 = (x.tolist() for x in model.layers)
+    row_of = rows_by_hand(model.vocabulary)
 
     def by_hand(text):
         words, x = text.encode().split(), [0.0] * (classifier.DIMENSIONS + classifier.FORM)
         if words:
             for w in words:
-                at = model.words.get(w, model.shapes.get(classifier.shape(w), 0))
+                at = row_of(w)
                 for d in range(classifier.DIMENSIONS):
                     x[d] += float(model.vectors[at][d]) / len(words)
             lines = [y for y in text.encode().split(b"\n") if y.strip()]

@@ -96,12 +96,12 @@ def test_pipeline_runs_whole(spark):
 def by_hand(spark, sf):
     """What each stage makes of rows of COLUMNS, in plain Python but for the fitted model."""
     docs, labels, items = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels", "benchmark"))
-    model = classifier.fit(*classifier.training_rows(docs, labels))
+    model = classifier.train(docs, labels)
     items = [(r.item_id, r.text) for r in items.collect()]
     key = dict(docs.select("doc_id", mixing.hash_key(F.col("doc_id"), 17)).collect())
 
     def good(rows):
-        return [x for x in rows if model.score([x[1]], {})[0] >= classifier.THRESHOLD]
+        return [x for x in rows if model.score([x[1]])[0] >= classifier.THRESHOLD]
 
     def apart(rows):
         component = brute.components([x[:2] for x in rows], 5, 80)
