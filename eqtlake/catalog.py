@@ -7,6 +7,7 @@ is written once for Spark and once in SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -417,8 +418,8 @@ def _written(spark: SparkSession, sf_dir: str, kind: str = "3F") -> Dataset:
     ds = dataset(spark, sf_dir)
     path, n_probes = f"{scratch_path(spark, 'besd')}/matrix.besd", ds.probes.count()
     write_besd(ds.assoc, n_probes, path, kind)
-    assoc = besd.read_assoc(spark, path, n_probes, valuesPerPartition=50_000)
-    return Dataset(ds.snps, ds.probes, assoc, matrix=(path, n_probes))
+    slices = partial(besd.read_assoc, spark, path, n_probes, valuesPerPartition=50_000)
+    return Dataset(ds.snps, ds.probes, slices(), slices=slices)
 
 
 @registered(f"WITH {STAR} {LONG}")

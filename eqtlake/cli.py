@@ -126,7 +126,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         Dataset.from_files(spark, args.beqtl_summary).save(args.index, by_snp=True)
         print(f"Index created: {args.index}")
         return
-    ds = Dataset.from_store(spark, args.besd_index) if args.besd_index else Dataset.from_files(spark, args.beqtl_summary)
+    ds = Dataset.from_index(spark, args.besd_index) if args.besd_index else Dataset.from_files(spark, args.beqtl_summary)
     found = select(ds, kind, wanted).cache()
     try:
         if kind != "cis":

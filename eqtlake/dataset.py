@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import META
-from .sources import besd, store, text
+from .sources import besd, sqlite_index, store, text
 
 #: Dimension rows that are looked up ahead so that their numbers reach the scan
 #: of a stored fact as literals, at most; more are joined.
@@ -24,8 +26,9 @@ class Dataset:
     assoc: DataFrame
     meta: DataFrame | None = None
     assoc_by_snp: DataFrame | None = None
-    #: The binary matrix that ``assoc`` reads and its number of probes.
-    matrix: tuple[str, int] | None = None
+    #: Gives the fact of some probe rows, where ``assoc`` reads a file that is
+    #: laid out by probe.
+    slices: Callable[..., DataFrame] | None = None
 
     @classmethod
     def from_frames(cls, snps: DataFrame, probes: DataFrame, assoc: DataFrame) -> Dataset:
@@ -45,12 +48,27 @@ class Dataset:
             **{f"{e}_path": f"{prefix}.{e}" for e in ("besd", "esi", "epi")},
         }
         meta = spark.createDataFrame(sorted(values.items()), META)
-        return cls(snps, probes, assoc, meta, matrix=(f"{prefix}.besd", n_probes))
+        return cls(snps, probes, assoc, meta, slices=partial(besd.read_assoc, spark, f"{prefix}.besd", n_probes))
 
     @classmethod
     def from_store(cls, spark: SparkSession, folder: str) -> Dataset:
         return cls(**store.read_store(spark, folder))
 
+    @classmethod
+    def from_sqlite(cls, spark: SparkSession, path: str) -> Dataset:
+        """An index in one SQLite file that every task can open."""
+        if not sqlite_index.is_sqlite(path):
+            sqlite_index.connect(path).close()  # a missing file has its own error
+            raise ValueError(f"{path} is not a SQLite file")
+        snps, probes, meta = (sqlite_index.read_table(spark, path, t) for t in ("esi", "epi", "besd_meta"))
+        slices = partial(sqlite_index.read_assoc, spark, path)
+        return cls(snps, probes, slices(), meta, slices=slices)
+
+    @classmethod
+    def from_index(cls, spark: SparkSession, path: str) -> Dataset:
+        """A SQLite file or the folder of a store."""
+        return cls.from_sqlite(spark, path) if sqlite_index.is_sqlite(path) else cls.from_store(spark, path)
+
     def __enter__(self) -> Dataset:
         return self
 
@@ -78,21 +96,21 @@ class Dataset:
     def assoc_of_probes(self, probes: DataFrame) -> DataFrame:
         """The fact for a join with filtered ``probes``: of a store the partitions
         that they are in, of a binary matrix their slices."""
-        if not self.stored and self.matrix is None:
+        if not self.stored and self.slices is None:
             return self.assoc
         found = probes.select("row_idx", "chr").distinct().limit(LOOKUP_ROWS + 1).collect()
         if len(found) > LOOKUP_ROWS:
             return self.assoc.drop("probe_chr")
         rows = sorted(r.row_idx for r in found)
-        if self.matrix is not None:
-            return besd.read_assoc(probes.sparkSession, *self.matrix, probes=rows)
+        if self.slices is not None:
+            return self.slices(probes=rows)
         chosen = F.col("probe_chr").isin(sorted({r.chr for r in found})) & F.col("probe_idx").isin(rows)
         return self.assoc.where(chosen).drop("probe_chr")
 
     def assoc_of_probe(self, probe_idx: int) -> DataFrame:
         """The fact of one probe row."""
-        if self.matrix is not None:
-            return besd.read_assoc(self.snps.sparkSession, *self.matrix, probes=[probe_idx])
+        if self.slices is not None:
+            return self.slices(probes=[probe_idx])
         return self.assoc.where(F.col("probe_idx") == F.lit(probe_idx))
 
     def assoc_of_snps(self, snps: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import sqlite3
+from contextlib import closing
 from pathlib import Path
 
 import duckdb
@@ -65,6 +67,23 @@ def make_files(folder: Path, kind: str = "3F") -> str:
     return prefix
 
 
+def make_sqlite(ds, path: str) -> str:
+    """The data set ``ds`` with the facts of ROWS as an index in one SQLite file."""
+    tables = {"esi": ds.snps, "epi": ds.probes, "besd_meta": ds.meta}
+    with closing(sqlite3.connect(path)) as con, con:
+        for name, df in tables.items():
+            con.execute(f"CREATE TABLE {name} ({', '.join([f'{df.columns[0]} PRIMARY KEY', *df.columns[1:]])})")
+            con.executemany(
+                f"INSERT INTO {name} VALUES ({', '.join('?' * len(df.columns))})", [tuple(r) for r in df.collect()]
+            )
+        con.execute("CREATE TABLE probe_data (probe_idx INTEGER PRIMARY KEY, snp_count, snp_indices, betas, ses)")
+        for p in range(N_PROBES):
+            own = [r[1:] for r in ROWS if r[0] == p]
+            arrays = [np.array([r[c] for r in own], k).tobytes() for c, k in enumerate(("<i4", "<f4", "<f4"))]
+            con.execute("INSERT INTO probe_data VALUES (?, ?, ?, ?, ?)", (p, len(own), *arrays))
+    return path
+
+
 def cdf(z: float) -> float:
     x = abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * x)
